@@ -85,8 +85,9 @@ def _per_batch(df, known, fold, out_fields, batch, idx, q, k, c1, c2):
         pairs = list(zip(right.column("c1").to_pylist(), right.column("c2").to_pylist()))
         return run(left, pairs)
 
-    inside = known_in_batch(rows, known)
-    return rows.groupBy("batch_id").cogroup(inside.groupBy("batch_id")).applyInArrow(with_known, out)
+    inside = known_in_batch(rows, known).withColumnRenamed("batch_id", "known_batch")
+    both = rows.groupBy("batch_id").cogroup(inside.groupBy("known_batch"))
+    return both.applyInArrow(with_known, out)
 
 
 def _long(name):

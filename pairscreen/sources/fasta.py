@@ -14,19 +14,29 @@ def read_fasta(spark, path, glob=None):
     reader = spark.read.option("wholetext", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path).select(
-        basename(F.col("_metadata.file_path")).alias("proteome_id"), "value"
-    )
-    # A record starts with ">" at the start of a line.
-    records = F.filter(F.split("value", r"(?m)^>"), lambda r: F.trim(r) != "")
-    kept = files.select(
-        "proteome_id", F.element_at(F.split("value", r"(?m)^>"), 1).alias("lead"), records.alias("r")
-    )
-    # Text before the first header is no record.
-    body = F.when(F.trim("lead") != "", F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0)))).otherwise(
-        F.col("r")
+    return parse_files(reader.text(path))
+
+
+def stream_fasta(spark, folder, suffix=".faa", max_files=None):
+    """The records of files as they arrive."""
+    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", f"*{suffix}")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return parse_files(reader.text(folder))
+
+
+def parse_files(files):
+    """Whole files in ``value`` to records."""
+    named = files.select(basename(F.col("_metadata.file_path")).alias("proteome_id"), "value")
+    # A record starts with ">" at the start of a line; what comes before the
+    # first one is no record.
+    parts = F.split("value", r"(?m)^>")
+    rows = named.select(
+        "proteome_id",
+        F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias(
+            "seq_idx", "record"
+        ),
     )
-    rows = kept.select("proteome_id", F.posexplode(body).alias("seq_idx", "record"))
     return _parsed(rows)
 
 

@@ -21,10 +21,18 @@ def write_predictions(df, path, fmt="csv", score="contact_score", mode="overwrit
 def write_pair_results(results, pairs, path, candidates=None, fmt="csv"):
     """Results below ``path/results``, one folder per pair, and one row per
     pair below ``path/status``: a pair without results has no folder but is
-    done all the same.  ``pairs`` are the pairs that were worked on."""
-    results.orderBy(*PAIR, F.desc("contact_score"), "viral_id").write.mode("append").partitionBy(
-        *PAIR
-    ).option("header", True).format(fmt).save(f"{path}/results")
+    done all the same.  ``pairs`` are the pairs that were worked on.  Status is
+    written last and results replace those of the same pair, so an interrupted
+    run leaves nothing that a repeated one would double."""
+    (
+        results.orderBy(*PAIR, F.desc("contact_score"), "viral_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("header", True)
+        .partitionBy(*PAIR)
+        .format(fmt)
+        .save(f"{path}/results")
+    )
     counts = results.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_results"))
     status = pairs.select(*PAIR).distinct().join(counts, PAIR, "left")
     if candidates is not None:

@@ -1,45 +1,22 @@
 """Encode proteomes as they arrive."""
 
-from pyspark.sql import functions as F
+from pairscreen.sources.fasta import stream_fasta
+from pairscreen.streaming.results import INTERVAL
 
-from pairscreen.functions import basename
-from pairscreen.sources.fasta import read_fasta
 
-
-def stream_files(spark, folder, suffix=".faa", max_files=None):
-    """Newly arrived files by name; contents stay on disk until needed."""
-    reader = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
-    )
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder).select("path", basename("path").alias("proteome_id"))
-
-
-def stream_encode(spark, folder, store, checkpoint, interval="600 seconds", once=False, suffix=".faa"):
-    """Bring ``store`` up to date with ``folder``.  The store skips what it has,
-    so a replayed batch does nothing twice."""
+def stream_encode_rows(stream, store, checkpoint, interval=INTERVAL, once=False):
+    """Bring ``store`` up to date with proteins that arrive as rows.  The store
+    skips what it has, so a replayed batch does nothing twice.  A proteome must
+    arrive whole in one batch, as a file does."""
 
     def arrive(batch, _):
-        session = batch.sparkSession
-        names = batch.select("proteome_id").distinct()
-        proteins = read_fasta(session, folder, glob=f"*{suffix}")
-        store.write(store.encode(store.missing(proteins.join(F.broadcast(names), "proteome_id", "left_semi"))))
+        store.write(store.encode(store.missing(batch)))
 
-    writer = (
-        stream_files(spark, folder, suffix)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(arrive)
-    )
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(arrive)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
     return writer.start()
 
 
-def stream_encode_rows(stream, store, checkpoint, once=True):
-    """The same for proteins that arrive as rows."""
-
-    def arrive(batch, _):
-        store.write(store.encode(store.missing(batch)))
-
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(arrive)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+def stream_encode(spark, folder, store, checkpoint, interval=INTERVAL, once=False, suffix=".faa"):
+    """The same for a folder of FASTA files: only new files are read."""
+    return stream_encode_rows(stream_fasta(spark, folder, suffix), store, checkpoint, interval, once)
