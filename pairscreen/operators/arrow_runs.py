@@ -18,7 +18,10 @@ def runs(batches, keys):
         change[0] = True
         for c in cols:
             if n > 1:
-                differs = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True)
+                a, b = c.slice(1), c.slice(0, n - 1)
+                differs = pc.or_(
+                    pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null())
+                )
                 change[1:] |= differs.to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(change)
         for start, stop in zip(starts, np.append(starts[1:], n)):
@@ -52,7 +55,7 @@ def ragged(batch, name, dim):
     flat = col.flatten().to_numpy(zero_copy_only=False)
     ends = np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
     starts = np.concatenate([[0], ends[:-1]])
-    return [flat[s:e].reshape(-1, d) for s, e, d in zip(starts, ends, dim)]
+    return [flat[s:e].reshape(-1, max(d, 1)) for s, e, d in zip(starts, ends, dim)]
 
 
 def ids(batch, name):

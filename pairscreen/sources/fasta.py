@@ -11,23 +11,23 @@ def read_fasta(spark, path, glob=None):
     """``(proteome_id, seq_idx, protein_id, sequence, length)`` of every record,
     in file order.  Each file is one value, so ``seq_idx`` counts within the
     file; see ``read_large_fasta`` for single files too big for that."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return parse_files(reader.text(path))
+    return parse_files(reader.text(path, wholetext=True))
 
 
 def stream_fasta(spark, folder, suffix=".faa", max_files=None):
     """The records of files as they arrive."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", f"*{suffix}")
+    reader = spark.readStream.option("pathGlobFilter", f"*{suffix}")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return parse_files(reader.text(folder))
+    return parse_files(reader.text(folder, wholetext=True))
 
 
 def parse_files(files):
     """Whole files in ``value`` to records."""
-    named = files.select(basename(F.col("_metadata.file_path")).alias("proteome_id"), "value")
+    named = files.select(basename(F.col("_metadata.file_name")).alias("proteome_id"), "value")
     # A record starts with ">" at the start of a line; what comes before the
     # first one is no record.
     parts = F.split("value", r"(?m)^>")
@@ -47,7 +47,7 @@ def read_large_fasta(spark, path):
         spark.read.option("lineSep", "\n>")
         .text(path)
         .select(
-            basename(F.col("_metadata.file_path")).alias("proteome_id"),
+            basename(F.col("_metadata.file_name")).alias("proteome_id"),
             F.lit(None).cast("int").alias("seq_idx"),
             F.col("value").alias("record"),
         )
@@ -73,7 +73,7 @@ def _parsed(rows):
 
 def scan_proteomes(spark, folder, suffix=".faa"):
     """The sorted inventory of proteome files: ``(proteome_id, path, size)``.
-    Contents are not read."""
+    Contents are not read.  An empty file has no proteins and is left out."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*{suffix}")

@@ -56,7 +56,7 @@ def read_partitioned_results(spark, path, fmt="csv"):
     return spark.read.schema(schema).option("header", True).format(fmt).load(f"{path}/results")
 
 
-def from_file_name(df, path_col="_metadata.file_path"):
+def from_file_name(df, path_col="_metadata.file_name"):
     """Add the pair that a ``<host>__<viral>.csv`` file name spells."""
     parts = F.split(basename(F.col(path_col)), "__", 2)
     return df.select(
