@@ -19,7 +19,7 @@ from pairscreen.session import materialise
 
 TOP_K = 3
 HEADS = [1.0, 0.5, 2.0, 0.25, 1.5, 0.75, 0.125, 3.0]
-SCREEN_THRESHOLD = 0.09
+SCREEN_THRESHOLD = 0.056
 
 
 def _candidates(spark, d):

@@ -1,5 +1,5 @@
 """Sweep planning over ``events``: users as hosts, event types as viral
-proteomes; a pair is finished once one of its events has a value above 20."""
+proteomes; a pair is finished once one of its events has a value above 60."""
 
 from pyspark.sql import functions as F
 
@@ -7,7 +7,7 @@ from pairscreen.functions import pair_name
 from pairscreen.operators import sweep
 from pairscreen.sources.tables import load
 
-DONE_ABOVE = 20.0
+DONE_ABOVE = 60.0
 
 
 def _events(spark, d):
