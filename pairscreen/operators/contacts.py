@@ -8,6 +8,8 @@ instead of once per pair.  A candidate that a third of all queries share is
 spread over all query blocks.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,20 +80,35 @@ def _best(scorer, r1, others):
 
 
 def residue_bytes(residues, residue_col):
-    return residues.agg(
-        F.coalesce(F.sum(F.size(residue_col) * F.coalesce(F.size(F.get(residue_col, F.lit(0))), F.lit(0)) * 4), F.lit(0))
-    ).first()[0]
+    """Volume of all residue vectors.  With a ``length`` column the vectors
+    themselves are not read, but for one row."""
+    if "length" not in residues.columns:
+        width = F.coalesce(F.size(F.get(residue_col, F.lit(0))), F.lit(0))
+        cells = F.size(residue_col).cast("bigint") * width
+        return residues.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0] * 4
+    row = residues.where("length > 0").select(F.size(F.get(residue_col, F.lit(0)))).first()
+    total = residues.agg(F.coalesce(F.sum(F.col("length").cast("bigint")), F.lit(0))).first()[0]
+    return total * 4 * (row[0] if row else 0)
+
+
+def tile_counts(q_bytes, c_bytes, slots, side_bytes):
+    """How many blocks to cut queries and candidates into.  At least as many as
+    keep a block below ``side_bytes`` and give every slot a tile; within that,
+    the larger side gets more blocks, because every query block may be sent to
+    every candidate block and the other way round."""
+    least_q, least_c = max(1, -(-q_bytes // side_bytes)), max(1, -(-c_bytes // side_bytes))
+    balanced = round(math.sqrt(slots * max(q_bytes, 1) / max(c_bytes, 1)))
+    n_qb = max(least_q, min(slots, max(1, balanced)))
+    return n_qb, max(least_c, -(-slots // n_qb))
 
 
 def _tiles(pairs, q_res, c_res, q_id, c_id, residue_col, side_bytes):
     """Rows of every tile in one partition: query residues, then candidate
     residues, then the pairs, the pairs in order of query."""
-    spark = pairs.sparkSession
-    slots = parallelism(spark)
+    slots = parallelism(pairs.sparkSession)
     q_bytes = residue_bytes(q_res, residue_col)
-    c_bytes = q_bytes if c_res is q_res else residue_bytes(c_res, residue_col)
-    n_qb = max(slots, -(-q_bytes // side_bytes))
-    n_cb = max(1, -(-c_bytes // side_bytes))
+    c_bytes = residue_bytes(c_res, residue_col)
+    n_qb, n_cb = tile_counts(q_bytes, c_bytes, slots, side_bytes)
     parts = min(n_qb * n_cb, MAX_PARTITIONS)
 
     def block(col, n):
@@ -160,7 +177,7 @@ def _types(pairs, q_id, c_id):
 def contact_scores(
     pairs,
     q_res,
-    c_res=None,
+    c_res,
     scorer=None,
     q_id="q_id",
     c_id="c_id",
@@ -183,14 +200,14 @@ def contact_scores(
                 yield table(schema, q_id=[q] * len(some), c_id=some, max_logit=best)
 
     distinct = pairs.select(q_id, c_id).distinct()
-    laid = _tiles(distinct, q_res, c_res or q_res, q_id, c_id, residue_col, side_bytes)
+    laid = _tiles(distinct, q_res, c_res, q_id, c_id, residue_col, side_bytes)
     return laid.mapInArrow(task, out).withColumn("contact_score", sigmoid("max_logit"))
 
 
 def contact_map(
     pairs,
     q_res,
-    c_res=None,
+    c_res,
     scorer=None,
     q_id="q_id",
     c_id="c_id",
@@ -224,7 +241,7 @@ def contact_map(
                 )
 
     distinct = pairs.select(q_id, c_id).distinct()
-    laid = _tiles(distinct, q_res, c_res or q_res, q_id, c_id, residue_col, side_bytes)
+    laid = _tiles(distinct, q_res, c_res, q_id, c_id, residue_col, side_bytes)
     return (
         laid.mapInArrow(task, out)
         .select("q_id", "c_id", "i", F.posexplode("row").alias("j", "logit"))

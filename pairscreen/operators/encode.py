@@ -11,18 +11,26 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairscreen.operators.arrow_runs import column, table
+from pairscreen.session import spread
 
 CHUNK_VALUES = 8_000_000  # residue values per output batch
 
 
 class HashedKmerEncoder:
-    """Each position is described by its k-mer, hashed into fixed random signs."""
+    """Each position is described by the row of a fixed random table that its
+    k-mer hashes to."""
+
+    BITS = 12
 
     def __init__(self, dim=32, k=3, seed=42):
         self.dim, self.k, self.seed = dim, k, seed
         self.version = f"kmer-{dim}-{k}-{seed}"
+        self._rows = None
 
     def load(self):
+        if self._rows is None:
+            rng = np.random.default_rng(self.seed)
+            self._rows = rng.standard_normal((1 << self.BITS, self.dim)).astype(np.float32)
         return self
 
     def residues(self, seqs):
@@ -36,11 +44,7 @@ class HashedKmerEncoder:
         for lag in range(self.k):
             shifted = np.concatenate([np.zeros(min(lag, len(codes)), np.uint64), codes[: len(codes) - lag]])
             mixed = _mix(mixed ^ (shifted + np.uint64(lag)))
-        out = np.empty((len(codes), self.dim), dtype=np.float32)
-        for d in range(self.dim):
-            bits = _mix(mixed + np.uint64(d)) >> np.uint64(40)
-            out[:, d] = bits.astype(np.float32) / np.float32(1 << 23) - 1
-        return out
+        return self.load()._rows[mixed >> np.uint64(64 - self.BITS)]
 
 
 def _mix(x):
@@ -76,10 +80,13 @@ def default_heads(encoder, out=64):
     return Projection.random(encoder.dim, out, 1), Projection.random(encoder.dim, out, 2)
 
 
-def encode(df, ids, sequence="sequence", encoder=None, heads=None, max_len=1024, residues=True):
+def encode(
+    df, ids, sequence="sequence", encoder=None, heads=None, max_len=1024, residues=True, deal=True
+):
     """``ids`` plus ``length``, ``q``, ``k`` and, if asked for, ``residues``.
     ``max_len=None`` reads whole sequences.  Output batches are cut by volume,
-    so one task never holds more than a few long sequences."""
+    so one task never holds more than a few long sequences.  ``deal`` shares a
+    small input out over all slots first."""
     encoder = encoder or HashedKmerEncoder()
     head_q, head_k = heads or default_heads(encoder)
     ids = [ids] if isinstance(ids, str) else list(ids)
@@ -114,4 +121,5 @@ def encode(df, ids, sequence="sequence", encoder=None, heads=None, max_len=1024,
             if start < len(seqs):
                 yield pack(keys[start:], model.residues(seqs[start:]))
 
-    return df.select(*ids, sequence).mapInArrow(task, out)
+    rows = df.select(*ids, sequence)
+    return (spread(rows) if deal else rows).mapInArrow(task, out)

@@ -15,18 +15,28 @@ from pairscreen.operators.arrow_runs import table
 from pairscreen.operators.knowns import UNKNOWN
 
 MAX_BATCH = 4096
+FEW_PARTNERS = 32
 MASKED = -1e4  # logit of a known pair off the diagonal
 
 
 def known_in_batch(rows, known, batch="batch_id", c1="c1", c2="c2"):
-    """Known cluster pairs that can occur in each batch.  Codes only, and at
-    most batch size squared per batch; codes without any partner go first."""
-    has1 = known.select(F.col("c1")).distinct()
-    has2 = known.select(F.col("c2")).distinct()
+    """Known cluster pairs that can occur in each batch; codes only, no vectors.
+
+    A cluster with few partners lists them and asks which are in the batch.  A
+    hub, with more partners than a batch has rows, is asked the other way
+    round: which clusters of the batch are its partners.  Either way a row
+    leads to at most ``FEW_PARTNERS`` or batch size many."""
+    degrees = known.groupBy("c1").agg(F.count(F.lit(1)).alias("n_partners"))
     one = rows.where(F.col(c1) != UNKNOWN).select(batch, F.col(c1).alias("c1")).distinct()
     two = rows.where(F.col(c2) != UNKNOWN).select(batch, F.col(c2).alias("c2")).distinct()
-    one, two = one.join(has1, "c1", "left_semi"), two.join(has2, "c2", "left_semi")
-    return one.join(two, batch).join(known, ["c1", "c2"], "left_semi").select(batch, "c1", "c2")
+    one = one.join(degrees, "c1")
+    few = one.where(F.col("n_partners") <= FEW_PARTNERS).join(known, "c1")
+    hubs = one.where(F.col("n_partners") > FEW_PARTNERS).join(two, batch)
+    return (
+        few.join(two, [batch, "c2"], "left_semi")
+        .select(batch, "c1", "c2")
+        .unionByName(hubs.join(known, ["c1", "c2"], "left_semi").select(batch, "c1", "c2"))
+    )
 
 
 def _matrix(col):

@@ -21,21 +21,21 @@ def valid_clusters(df, c1="seq1_cluster", c2="seq2_cluster"):
 def interaction_keys(*frames, c1="seq1_cluster", c2="seq2_cluster", multiplier=None):
     """Distinct known cluster pairs of all frames, in both directions, as
     ``(c1, c2)``; with a ``multiplier`` also as one BIGINT ``key``, which fails
-    on clusters it cannot hold.  Pairs are made distinct before they are
-    doubled, so only distinct pairs are shuffled twice."""
+    on clusters it cannot hold.  Pairs are made distinct without regard to
+    direction and doubled afterwards: one shuffle."""
     every = None
     for frame in frames:
         part = normalise_clusters(frame.select(F.col(c1).alias("c1"), F.col(c2).alias("c2")), ("c1", "c2"))
         every = part if every is None else every.unionByName(part)
-    one_way = valid_clusters(every, "c1", "c2").distinct()
-    both = one_way.select(
-        F.explode(
-            F.array_distinct(
-                F.array(F.struct("c1", "c2"), F.struct(F.col("c2").alias("c1"), F.col("c1").alias("c2")))
-            )
-        ).alias("p")
+    pairs = (
+        valid_clusters(every, "c1", "c2")
+        .select(F.least("c1", "c2").alias("lo"), F.greatest("c1", "c2").alias("hi"))
+        .distinct()
     )
-    keys = both.select("p.c1", "p.c2").distinct()
+    ways = [
+        F.struct(F.col(a).alias("c1"), F.col(b).alias("c2")) for a, b in (("lo", "hi"), ("hi", "lo"))
+    ]
+    keys = pairs.select(F.inline(F.array_distinct(F.array(*ways))))
     if multiplier is None:
         return keys
     return keys.withColumn("key", composite_key("c1", "c2", multiplier))
@@ -87,17 +87,17 @@ def dataset_summary(df, c1="seq1_cluster", c2="seq2_cluster"):
     Distinct clusters are counted after a distributed distinct."""
     rows = normalise_clusters(df.select(c1, c2), (c1, c2))
     has = (F.col(c1) != UNKNOWN) & (F.col(c2) != UNKNOWN)
+    none = F.lit(None).cast("bigint")
+    totals = rows.agg(
+        F.count(F.lit(1)).alias("n_examples"),
+        F.count(F.when(~has, F.lit(1))).alias("n_without_clusters"),
+        none.alias("n_clusters"),
+    )
     clusters = (
         rows.where(has)
-        .groupBy(c1, c2)
-        .agg(F.lit(1).alias("x"))
         .select(F.explode(F.array(c1, c2)).alias("c"))
         .distinct()
         .agg(F.count(F.lit(1)).alias("n_clusters"))
+        .select(none.alias("n_examples"), none.alias("n_without_clusters"), "n_clusters")
     )
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("n_examples"),
-        F.count(F.when(~has, F.lit(1))).alias("n_without_clusters"),
-    )
-    one = F.lit(1).alias("one")
-    return totals.select("*", one).join(clusters.select("*", one), "one").drop("one")
+    return totals.unionByName(clusters).agg(*[F.max(c).alias(c) for c in totals.columns])

@@ -38,6 +38,18 @@ def _sides(queries, keys, q_id, q_vec, k_id, k_vec, q_space, k_space, held=(), p
     return left, right
 
 
+def _plan(left, right, k, q_space, query_block, key_shard):
+    """Block size from the vector width: a held query costs its vector, twice,
+    and 24 bytes for each of its best ``k``."""
+    if query_block is None:
+        first = left.select(F.size("vec")).first()
+        value = 4 if left.schema["vec"].dataType.elementType.typeName() == "float" else 8
+        query_block = tiles.block_rows((first[0] if first else 0) * 2 * value + 24 * k)
+    return tiles.plan(
+        left.select("space"), right.select("space"), q_space is None, query_block, key_shard
+    )
+
+
 def topk_by_space(
     queries,
     keys,
@@ -59,9 +71,7 @@ def topk_by_space(
     ``per``: a key column; the best ``k`` are taken for each of its values.
     """
     left, right = _sides(queries, keys, q_id, q_vec, k_id, k_vec, q_space, k_space, per=per)
-    p = tiles.plan(
-        left.select("space"), right.select("space"), q_space is None, query_block, key_shard
-    )
+    p = _plan(left, right, k, q_space, query_block, key_shard)
     per_type = keys.schema[per].dataType if per else T.IntegerType()
     both = tiles.meet(
         [
@@ -201,9 +211,7 @@ def rank_against(
     Counts leave the task, never rankings."""
     held = [F.col(bar).cast("double").alias("bar"), F.col(bar_id).alias("bar_id")]
     left, right = _sides(queries, keys, q_id, q_vec, k_id, k_vec, q_space, k_space, held)
-    p = tiles.plan(
-        left.select("space"), right.select("space"), q_space is None, query_block, key_shard
-    )
+    p = _plan(left, right, 1, q_space, query_block, key_shard)
     both = tiles.meet(
         [
             tiles.place(left, p, "q_id", True).withColumn("kind", F.lit(0)),

@@ -27,10 +27,9 @@ def cluster_sample(
     rows = normalise_clusters(df.select(*example, c1, c2), (c1, c2))
     loose = (F.col(c1) == UNKNOWN) | (F.col(c2) == UNKNOWN)
     singles = with_position(rows.where(loose).select(*example), example, out="slot")
-    members = with_position(
-        cluster_members(rows, example, c1, c2), example, by=["cluster"], out="slot"
-    )
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"))
+    belonging = cluster_members(rows, example, c1, c2)
+    members = with_position(belonging, example, by=["cluster"], out="slot")
+    sizes = belonging.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"))
     clusters = with_position(sizes, ["cluster"], out="cluster_idx")
 
     counts = rows.agg(

@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 
 from pairscreen.session import parallelism
 
-LEFT_BLOCK = 16_384
+HELD_BYTES = 256 << 20  # what one task may hold of the left side
+LEFT_BLOCK = (4_096, 131_072)  # fewest and most rows of a block
 RIGHT_SHARD = 4_000_000
 MIN_BLOCK = 128  # below this a smaller block buys no parallelism
 MAX_PARTITIONS = 20_000
 MAX_LOCAL_SPACES = 10_000
-PAIRS_PER_TASK = LEFT_BLOCK * RIGHT_SHARD // 64
+PAIRS_PER_TASK = 1 << 30
 
 TILE = ["space", "lb", "rb"]
 
 
+def block_rows(row_bytes):
+    """Rows per block: the larger, the fewer copies of the right side travel."""
+    low, high = LEFT_BLOCK
+    return max(low, min(high, HELD_BYTES // max(1, row_bytes)))
+
+
 class TilePlan:
     """How many pieces each space is cut into: ``n_lb``, ``n_rb`` and ``base``,
     the number of its first tile.  One space gives literals.  Several give a
@@ -44,11 +51,11 @@ class TilePlan:
         )
 
 
-def plan(left, right, one_space, left_block=None, right_shard=None):
+def plan(left, right, one_space, left_block, right_shard=None):
     """``left`` and ``right`` carry ``space``.  One pruned count per side."""
     spark = left.sparkSession
     slots = parallelism(spark)
-    left_block, right_shard = left_block or LEFT_BLOCK, right_shard or RIGHT_SHARD
+    right_shard = right_shard or RIGHT_SHARD
     if one_space:
         counts = [(0, left.count(), right.count())]
         cut, partitions = _cut(counts, slots, left_block, right_shard)

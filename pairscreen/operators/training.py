@@ -9,6 +9,7 @@ from pairscreen.functions import (
     transpose_contacts,
 )
 from pairscreen.operators.knowns import UNKNOWN, normalise_clusters
+from pairscreen.session import spread
 
 
 def require_min(df, n, what="sequences"):
@@ -33,7 +34,7 @@ def residue_rows(df, sequence="sequence", max_len=None, pos="pos", residue="resi
     text = F.col(sequence) if max_len is None else F.substring(sequence, 1, max_len)
     others = [c for c in df.columns if c != sequence]
     symbols = F.filter(F.split(text, ""), lambda s: s != "")
-    return df.select(*others, F.posexplode(symbols).alias(pos, residue))
+    return spread(df).select(*others, F.posexplode(symbols).alias(pos, residue))
 
 
 def clip_contacts(df, max_len, contacts="contacts", len1="len1", len2="len2"):
@@ -54,16 +55,19 @@ def swap_augment(df, id_col, pairs, seed=42, p=0.5, contacts="contacts", epoch=0
 
 
 def symmetric_union(df, pairs, idx=None, size=None):
-    """(A, B) followed by (B, A).  With ``idx`` and ``size`` (a column or a
+    """(A, B) and (B, A), from one read of the table.  With ``idx`` and ``size`` (a column or a
     number) the second half is numbered on from the first."""
     names = dict(pairs) | {b: a for a, b in pairs}
-    flipped = df.select(*[F.col(names.get(c, c)).alias(c) for c in df.columns])
-    if idx is not None:
-        step = F.col(size) if isinstance(size, str) else F.lit(size)
-        flipped = flipped.withColumn(idx, F.col(idx) + step)
-    return df.withColumn("swapped", F.lit(False)).unionByName(
-        flipped.withColumn("swapped", F.lit(True))
-    )
+    step = F.lit(0) if size is None else F.col(size) if isinstance(size, str) else F.lit(size)
+
+    def side(swapped):
+        cols = []
+        for c in df.columns:
+            value = F.col(names.get(c, c)) if swapped else F.col(c)
+            cols.append((value + step if swapped and c == idx else value).alias(c))
+        return F.struct(*cols, F.lit(swapped).alias("swapped"))
+
+    return df.select(F.inline(F.array(side(False), side(True))))
 
 
 def union_splits(*frames):

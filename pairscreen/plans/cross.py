@@ -42,10 +42,11 @@ def cross_screen(host, viral, top_k=100, threshold=THRESHOLD, scorer=None, pairs
     require_min(host, 1, "host sequences")
     require_min(viral, 1, "viral sequences")
     candidates = materialise(cross_candidates(host, viral, top_k, pairs), "candidates")
-    everyone = host.select("row_id", "residues").unionByName(viral.select("row_id", "residues"))
+    cols = ["row_id", "length", "residues"]
+    everyone = host.select(*cols).unionByName(viral.select(*cols))
     scores = contact_scores(
         candidates,
-        viral.select(F.col("row_id").alias("q_id"), "residues"),
+        viral.select(F.col("row_id").alias("q_id"), "length", "residues"),
         everyone.withColumnRenamed("row_id", "c_id"),
         scorer,
     )

@@ -13,7 +13,7 @@ def screen(encoded, top_k=100, threshold=0.5, scorer=None, id_col="protein_id",
     """``(query_id, match_id, contact_score)``, one row per unordered pair above
     the threshold.
 
-    ``encoded`` has ``id_col``, ``q``, ``k``, ``residues`` and ``row_id``, a
+    ``encoded`` has ``id_col``, ``q``, ``k``, ``residues``, ``length`` and ``row_id``, a
     unique BIGINT in input order.  Pairs are told apart by ``row_id``; with
     ``by_id`` by their external ids, so that repeated ids collapse.
     """
@@ -21,7 +21,7 @@ def screen(encoded, top_k=100, threshold=0.5, scorer=None, id_col="protein_id",
     queries = encoded.select(F.col("row_id").alias("q_id"), F.col("q").alias("vec"))
     keys = encoded.select(F.col("row_id").alias("c_id"), F.col("k").alias("vec"))
     candidates = materialise(topk_inner_product(queries, keys, top_k), "candidates")
-    res = encoded.select("row_id", "residues")
+    res = encoded.select("row_id", "length", "residues")
     scored = contact_scores(
         candidates,
         res.withColumnRenamed("row_id", "q_id"),

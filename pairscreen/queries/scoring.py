@@ -82,6 +82,7 @@ def _encoded(spark, d):
         F.concat(F.lit("g"), label).alias("proteome_id"),
         "q",
         F.col("q").alias("k"),
+        F.size("residues").alias("length"),
         "residues",
     )
 

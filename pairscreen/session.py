@@ -63,3 +63,17 @@ def materialise(df, label):
 def parallelism(spark):
     """Task slots to aim for: the configured shuffle width."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+# What one task of a scan reads by default.
+SCAN_TASK_BYTES = 128 << 20
+
+
+def spread(df):
+    """Deal a small input out over all task slots before work that is heavy per
+    row: it may sit in a single file.  The size is the optimiser's estimate; an
+    input that fills the slots by itself is left alone, so no large table is
+    ever shuffled for this."""
+    slots = parallelism(df.sparkSession)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slots) if size < slots * SCAN_TASK_BYTES else df

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from pairscreen.operators.encode import HashedKmerEncoder, default_heads, encode
 from pairscreen.schemas import ENCODED
+from pairscreen.session import parallelism
 from pairscreen.sources.fingerprint import content_hash
 
 _KEY = ["proteome_id", "content_hash", "encoder_version", "max_len"]
 MAX_ROWS_PER_FILE = 100_000
+CHUNK = 2_000  # proteins of one proteome that one task encodes in a row
 
 
 class EncodedStore:
@@ -62,13 +64,19 @@ class EncodedStore:
         return proteins.join(wanted.join(have, _KEY, "left_anti"), "proteome_id")
 
     def encode(self, proteins):
+        """Proteins of a proteome are brought together, a few thousand to a
+        task, while they are still short strings: few files per proteome, and a
+        proteome of any size is shared out."""
+        chunk = F.floor(F.col("seq_idx") / CHUNK)
+        dealt = proteins.repartition(parallelism(self.spark), "proteome_id", chunk)
         return encode(
-            proteins,
+            dealt,
             ["proteome_id", "content_hash", "encoder_version", "max_len", "seq_idx", "protein_id"],
             "sequence",
             self.encoder,
             self.heads,
             self.max_len,
+            deal=False,
         )
 
     def ensure(self, proteins):

@@ -96,3 +96,21 @@ def test_a_protein_without_residues_scores_nothing(spark, proteins):
 def test_no_pairs(spark, proteins):
     q, c = protein_frames(spark, proteins)
     assert contacts.contact_scores(pair_frame(spark, [(0, 0)]).limit(0), q, c).count() == 0
+
+
+def test_the_larger_side_gets_more_blocks():
+    mb = 1 << 20
+    assert contacts.tile_counts(100 * mb, 100 * mb, 16, 128 * mb) == (4, 4)
+    n_qb, n_cb = contacts.tile_counts(mb, 10_000 * mb, 64, 128 * mb)
+    assert n_qb == 1 and n_cb >= 79
+    n_qb, n_cb = contacts.tile_counts(0, 0, 8, 128 * mb)
+    assert n_qb * n_cb >= 8
+
+
+def test_volume_is_read_from_lengths(spark, proteins):
+    q, _ = protein_frames(spark, proteins)
+    want = sum(len(p) for p in proteins) * 16 * 4
+    from pyspark.sql import functions as F
+
+    assert contacts.residue_bytes(q, "residues") == want
+    assert contacts.residue_bytes(q.withColumn("length", F.size("residues")), "residues") == want

@@ -272,3 +272,13 @@ def test_pooling(spark):
     packed = gather_residues(df.where("p = 1"), "p", "pos", "vec")
     assert packed.first().residues == [[1.0, -5.0], [3.0, -1.0]]
     assert sorted((r.pos, r.vec) for r in spread_residues(packed).collect()) == [(0, [1.0, -5.0]), (1, [3.0, -1.0])]
+
+
+@pytest.mark.parametrize("few", [0, 1, 32])
+def test_hubs_and_others_give_the_same_known_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(in_batch, "FEW_PARTNERS", few)
+    _, _, df = batch(spark, 6, [(1, 2), (1, 3), (4, 2), (-1, 3), (5, -1), (7, 9)])
+    pairs = {(1, 2), (1, 3), (1, 8), (4, 3), (6, 2), (7, 7)}
+    known = spark.createDataFrame(sorted(pairs), "c1 long, c2 long")
+    got = sorted((r.c1, r.c2) for r in in_batch.known_in_batch(df, known).collect())
+    assert got == [(1, 2), (1, 3), (4, 3)]
