@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairscreen.operators import tiles
 from pairscreen.operators.arrow_runs import ids, matrix, runs, table
-from pairscreen.operators.dot_kernels import RunningRank, RunningTop
+from pairscreen.operators.dot_kernels import KeyBuffer, RunningRank, RunningTop
 from pairscreen.operators.tiles import TILE
 
 
@@ -101,11 +101,13 @@ def topk_by_space(
 
 def _top_task(k, schema):
     def task(batches):
-        tile, held, queries, q_ids, top, grp = None, [], None, None, None, None
+        tile, held, queries, q_ids, feed, grp = None, [], None, None, None, None
 
         def leave():
-            if top is None or top.key is None:
+            if feed is None:
                 return None
+            feed.flush()
+            top = feed.sink
             starts = np.searchsorted(top.rows, top.rows, side="left")
             rank = np.arange(len(top.rows)) - starts + 1
             return table(
@@ -123,7 +125,7 @@ def _top_task(k, schema):
                 done = leave()
                 if done is not None:
                     yield done
-                tile, held, queries, top, grp = key[:3], [], None, None, None
+                tile, held, queries, feed, grp = key[:3], [], None, None, None
             if key[3] == 0:
                 held.append((ids(part, "q_id"), np.array(matrix(part, "vec"))))
                 continue
@@ -132,12 +134,12 @@ def _top_task(k, schema):
             if queries is None:
                 q_ids = np.concatenate([h[0] for h in held])
                 queries = np.concatenate([h[1] for h in held])
-            if top is None or key[4] != grp:
+            if feed is None or key[4] != grp:
                 done = leave()
                 if done is not None:
                     yield done
-                top, grp = RunningTop(queries, k), key[4]
-            top.feed(matrix(part, "vec"), ids(part, "c_id"))
+                feed, grp = KeyBuffer(RunningTop(queries, k)), key[4]
+            feed.add(matrix(part, "vec"), ids(part, "c_id"))
         done = leave()
         if done is not None:
             yield done
@@ -232,12 +234,17 @@ def rank_against(
 
 def _rank_task(schema):
     def task(batches):
-        tile, held, counter, q_ids = None, [], None, None
+        tile, held, feed, q_ids = None, [], None, None
+
+        def leave():
+            feed.flush()
+            return table(schema, q_id=q_ids, better=feed.sink.better)
+
         for key, part in runs(batches, [*TILE, "kind"]):
             if key[:3] != tile:
-                if counter is not None:
-                    yield table(schema, q_id=q_ids, better=counter.better)
-                tile, held, counter = key[:3], [], None
+                if feed is not None:
+                    yield leave()
+                tile, held, feed = key[:3], [], None
             if key[3] == 0:
                 held.append(
                     (
@@ -250,12 +257,12 @@ def _rank_task(schema):
                 continue
             if not held:
                 continue
-            if counter is None:
+            if feed is None:
                 q_ids, vecs, bars, bar_ids = (np.concatenate(x) for x in zip(*held))
-                counter = RunningRank(vecs, bars, bar_ids)
-            counter.feed(matrix(part, "vec"), ids(part, "c_id"))
-        if counter is not None:
-            yield table(schema, q_id=q_ids, better=counter.better)
+                feed = KeyBuffer(RunningRank(vecs, bars, bar_ids))
+            feed.add(matrix(part, "vec"), ids(part, "c_id"))
+        if feed is not None:
+            yield leave()
 
     return task
 

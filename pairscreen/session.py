@@ -61,8 +61,12 @@ def materialise(df, label):
 
 
 def parallelism(spark):
-    """Task slots to aim for: the configured shuffle width."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Task slots to aim for: the cores of a local session, and on a cluster
+    the configured shuffle width, if that is more than the cores known so far."""
+    cores = spark.sparkContext.defaultParallelism
+    if is_local(spark):
+        return max(1, cores)
+    return max(1, cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 # What one task of a scan reads by default.

@@ -62,7 +62,7 @@ if __name__ == "__main__":
     wanted = sys.argv[2:] or list(entry.queries())
     spark = build_session(
         master="local[8]",
-        shuffle_partitions=8,
+        shuffle_partitions=os.environ.get("CHECK_PARTITIONS", "8"),
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("OFF")
