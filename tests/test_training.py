@@ -258,6 +258,25 @@ def test_metric_rows(spark):
     assert {r.step for r in long} == {5} and all(r.metric.startswith("eval/x_") for r in long)
 
 
+def test_both_directions_at_once(spark):
+    rng = np.random.default_rng(8)
+    q, k = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (40, 4)).astype(float)
+    c = rng.integers(-1, 5, (40, 2))
+    pairs = {(1, 2), (3, 0), (4, 4)}
+    rows = [(i, q[i].tolist(), k[i].tolist(), int(c[i, 0]), int(c[i, 1])) for i in range(40)]
+    df = spark.createDataFrame(rows, "idx long, q array<double>, k array<double>, c1 long, c2 long")
+    known = spark.createDataFrame(sorted(pairs), "c1 long, c2 long")
+    got = {r.metric: r.value for r in metrics.retrieval_metrics(df, known, query_block=9, key_shard=11).collect()}
+    for name, a, b, valid in (
+        ("seq1_to_seq2", q, k, lambda i, j: i == j or (int(c[i, 0]), int(c[j, 1])) in pairs),
+        ("seq2_to_seq1", k, q, lambda i, j: i == j or (int(c[j, 0]), int(c[i, 1])) in pairs),
+    ):
+        ranks = np.array(rank_oracle(a, b, valid))
+        assert got[f"{name}_mean_rank"] == pytest.approx(ranks.mean())
+        assert got[f"{name}_median_rank"] == math.floor(np.median(ranks))
+        assert got[f"{name}_R@5"] == pytest.approx((ranks <= 5).mean())
+
+
 def test_exact_median(spark):
     for values in ([5], [1, 2], [1, 1, 1, 9], [4, 8, 15, 16, 23]):
         df = spark.createDataFrame([(v,) for v in values], "rank long")
@@ -282,3 +301,10 @@ def test_hubs_and_others_give_the_same_known_pairs(spark, monkeypatch, few):
     known = spark.createDataFrame(sorted(pairs), "c1 long, c2 long")
     got = sorted((r.c1, r.c2) for r in in_batch.known_in_batch(df, known).collect())
     assert got == [(1, 2), (1, 3), (4, 3)]
+
+
+def test_doubled_batches(spark):
+    _, _, df = batch(spark, 3, [(1, 2), (3, 4), (5, 6)])
+    twice = training.symmetric_union(df, [("q", "k"), ("c1", "c2")], "idx", 3)
+    assert sorted((r.idx, r.c1) for r in twice.collect()) == [(0, 1), (1, 3), (2, 5), (3, 2), (4, 4), (5, 6)]
+    assert idx_pairs(negatives.random_negatives(twice, 1.0)) == [(i, (i + 1) % 6) for i in range(6)]
