@@ -15,18 +15,21 @@ from pairscreen.session import parallelism
 
 _SLICE = "__slice"
 _SHIFT = "__shift"
-# Sample rows per slice, and the most slices ever used: both bound what the driver sees.
-_OVERSAMPLE = 16
+# Both bound what the driver sees.
+_SAMPLE = 10_000
 _MAX_SLICES = 256
 
 
 def split_points(df, order, slices):
-    """Rows of ``order`` values cutting the order into about equal slices.
-    Bottom-of-hash sampling: one pruned scan, at most ``slices * 16`` rows."""
+    """Rows of ``order`` values cutting the order into about equal slices, from
+    a bottom-of-hash sample: one pruned scan.  A table no larger than the sample
+    is not cut at all."""
     names = [f"o{n}" for n in range(len(order))]
     keys = df.select(*[F.col(c).alias(n) for c, n in zip(order, names)])
-    sample = keys.orderBy(F.xxhash64(*names)).limit(slices * _OVERSAMPLE).orderBy(*names).collect()
-    step = max(1, len(sample) // slices)
+    sample = keys.orderBy(F.xxhash64(*names)).limit(_SAMPLE).orderBy(*names).collect()
+    if len(sample) < _SAMPLE:
+        return []
+    step = _SAMPLE // slices
     return [tuple(row) for row in sample[step::step]][: slices - 1]
 
 
@@ -50,52 +53,51 @@ def _slice_of(df, order, points):
 
 
 def _sliced(df, order, slices):
+    """``df`` with its slice number, and whether there is more than one slice."""
     if slices is None:
         slices = min(_MAX_SLICES, parallelism(df.sparkSession))
     points = split_points(df, order, slices) if slices > 1 else []
-    return df.withColumn(_SLICE, _slice_of(df, order, points))
+    return df.withColumn(_SLICE, _slice_of(df, order, points)), bool(points)
 
 
-def _shift(cut, by, measure):
-    """Total of ``measure`` over the slices before each (group, slice)."""
+def _shifted(rows, cut, by, measure):
+    """Add the total of ``measure`` over the slices before each (group, slice)."""
     before = (
         Window.partitionBy(*[F.col(c) for c in by])
         .orderBy(_SLICE)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = cut.groupBy(*by, _SLICE).agg(measure.alias("__n"))
-    return totals.select(*by, _SLICE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_SHIFT))
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_SHIFT)
+    return rows.join(totals.select(*by, _SLICE, shift), [*by, _SLICE])
 
 
 def with_position(df, order, by=(), out="pos", slices=None):
     """0-based position of each row in ``order`` inside its ``by`` group.
     ``order`` should end in a unique column; ``by`` columns must not be null."""
     by = list(by)
-    cut = _sliced(df, list(order), slices)
+    cut, several = _sliced(df, list(order), slices)
     inside = Window.partitionBy(*by, _SLICE).orderBy(*order)
-    return (
-        cut.withColumn("__rn", F.row_number().over(inside))
-        .join(_shift(cut, by, F.count(F.lit(1))), [*by, _SLICE])
-        .withColumn(out, (F.col("__rn") - 1 + F.col(_SHIFT)).cast("bigint"))
-        .drop("__rn", _SLICE, _SHIFT)
+    rows = cut.withColumn("__rn", F.row_number().over(inside))
+    rows = _shifted(rows, cut, by, F.count(F.lit(1))) if several else rows.withColumn(_SHIFT, F.lit(0))
+    return rows.withColumn(out, (F.col("__rn") - 1 + F.col(_SHIFT)).cast("bigint")).drop(
+        "__rn", _SLICE, _SHIFT
     )
 
 
 def with_offsets(df, order, length, by=(), out="offset", slices=None):
     """Start offset of each ragged row: the lengths before it, summed."""
     by = list(by)
-    cut = _sliced(df, list(order), slices)
+    cut, several = _sliced(df, list(order), slices)
     before = (
         Window.partitionBy(*by, _SLICE)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    run = F.coalesce(F.sum(length).over(before), F.lit(0))
-    return (
-        cut.withColumn("__run", run)
-        .join(_shift(cut, by, F.sum(length)), [*by, _SLICE])
-        .withColumn(out, (F.col("__run") + F.col(_SHIFT)).cast("bigint"))
-        .drop("__run", _SLICE, _SHIFT)
+    rows = cut.withColumn("__run", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    rows = _shifted(rows, cut, by, F.sum(length)) if several else rows.withColumn(_SHIFT, F.lit(0))
+    return rows.withColumn(out, (F.col("__run") + F.col(_SHIFT)).cast("bigint")).drop(
+        "__run", _SLICE, _SHIFT
     )
 
 

@@ -41,12 +41,14 @@ def _sides(queries, keys, q_id, q_vec, k_id, k_vec, q_space, k_space, held=(), p
 def _plan(left, right, k, q_space, query_block, key_shard):
     """Block size from the vector width: a held query costs its vector, twice,
     and 24 bytes for each of its best ``k``."""
-    if query_block is None:
+
+    def rows():
         first = left.select(F.size("vec")).first()
         value = 4 if left.schema["vec"].dataType.elementType.typeName() == "float" else 8
-        query_block = tiles.block_rows((first[0] if first else 0) * 2 * value + 24 * k)
+        return tiles.block_rows((first[0] if first else 0) * 2 * value + 24 * k)
+
     return tiles.plan(
-        left.select("space"), right.select("space"), q_space is None, query_block, key_shard
+        left.select("space"), right.select("space"), q_space is None, query_block or rows, key_shard
     )
 
 

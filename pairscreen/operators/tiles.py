@@ -7,6 +7,8 @@ hash of the row id, so no value can make one tile larger than the others, and
 a space that holds most rows is simply cut into more pieces.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from pairscreen.session import parallelism
@@ -15,7 +17,7 @@ HELD_BYTES = 256 << 20  # what one task may hold of the left side
 LEFT_BLOCK = (4_096, 131_072)  # fewest and most rows of a block
 RIGHT_SHARD = 4_000_000
 MIN_BLOCK = 128  # below this a smaller block buys no parallelism
-MAX_PARTITIONS = 20_000
+MAX_PARTITIONS = 100_000
 MAX_LOCAL_SPACES = 10_000
 PAIRS_PER_TASK = 1 << 30
 
@@ -52,28 +54,38 @@ class TilePlan:
 
 
 def plan(left, right, one_space, left_block, right_shard=None):
-    """``left`` and ``right`` carry ``space``.  One pruned count per side."""
+    """``left`` and ``right`` carry ``space``.  One pruned count over both.
+    ``left_block`` is a number of rows or a function that finds it, called only
+    if some space is larger than the smallest block."""
     spark = left.sparkSession
     slots = parallelism(spark)
     right_shard = right_shard or RIGHT_SHARD
+
+    def block(n_left):
+        if not callable(left_block):
+            return left_block
+        return left_block() if n_left > LEFT_BLOCK[0] else LEFT_BLOCK[0]
+
+    both = left.select("space", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select("space", F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("l", "n_left"), ("r", "n_right"))]
     if one_space:
-        counts = [(0, left.count(), right.count())]
-        cut, partitions = _cut(counts, slots, left_block, right_shard)
+        n_left, n_right = both.agg(*totals).first()
+        cut, partitions = _cut([(0, n_left, n_right)], slots, block(n_left), right_shard)
         _, n_lb, n_rb, _ = cut[0]
         return TilePlan(partitions, n_rb == 1, pieces=(n_lb, n_rb))
-    sizes = (
-        left.groupBy("space")
-        .agg(F.count(F.lit(1)).alias("n_left"))
-        .join(right.groupBy("space").agg(F.count(F.lit(1)).alias("n_right")), "space")
-    )
+    sizes = both.groupBy("space").agg(*totals).where("space is not null and n_left > 0 and n_right > 0")
     rows = sizes.limit(MAX_LOCAL_SPACES + 1).collect()
+    many = len(rows) > MAX_LOCAL_SPACES
+    left_block = block(math.inf if many else max((r.n_left for r in rows), default=0))
     pieces = sizes.select(
         "space",
         F.ceil(F.col("n_left") / left_block).cast("int").alias("n_lb"),
         F.ceil(F.col("n_right") / right_shard).cast("int").alias("n_rb"),
-        F.xxhash64("space").alias("base"),
+        F.shiftright(F.xxhash64("space"), 2).alias("base"),
     )
-    if len(rows) > MAX_LOCAL_SPACES:
+    if many:
         return TilePlan(MAX_PARTITIONS, False, frame=pieces)
     cut, partitions = _cut([tuple(r) for r in rows], slots, left_block, right_shard)
     small = spark.createDataFrame(cut, pieces.schema)

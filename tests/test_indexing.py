@@ -1,9 +1,17 @@
 import numpy as np
 import pandas as pd
 
+import pytest
+
 from pairscreen.operators import indexing
 
 
+@pytest.fixture(autouse=True, params=[20, 10_000])
+def sample(request, monkeypatch):
+    """Cut the small tables of these tests, too."""
+    monkeypatch.setattr(indexing, "_SAMPLE", request.param)
+
+
 def skewed(spark, n=700):
     rng = np.random.default_rng(0)
     # One group holds a third of the rows; the order column repeats.
