@@ -53,10 +53,14 @@ class MultiHeadDot:
         ends = np.cumsum([len(o) for o in others])
         starts = np.concatenate([[0], ends[:-1]])
         cells = q @ k.T
-        top = np.maximum.reduceat(cells.max(axis=0), starts)
+        per_column = cells.max(axis=0)
+        top = np.maximum.reduceat(per_column, starts)
         slack = 2 * lengths_of(q).max() * lengths_of(k).max() * rounding_bound(q.shape[1], q.dtype)
         bar = np.repeat(top - slack, np.diff(np.append(starts, ends[-1])))
-        r, c = np.nonzero(cells >= bar)
+        # Few columns come near the top; only those are looked at again.
+        near = np.flatnonzero(per_column >= bar)
+        r, c = np.nonzero(cells[:, near] >= bar[near])
+        c = near[c]
         exact = exact_dots(np.ascontiguousarray(q.T), r, np.ascontiguousarray(k.T), c)
         out = np.full(len(others), -np.inf)
         np.maximum.at(out, np.searchsorted(ends, c, side="right"), exact)
@@ -93,13 +97,14 @@ def residue_bytes(residues, residue_col):
 
 def tile_counts(q_bytes, c_bytes, slots, side_bytes):
     """How many blocks to cut queries and candidates into.  At least as many as
-    keep a block below ``side_bytes`` and give every slot a tile; within that,
+    keep a block below ``side_bytes`` and give every slot two tiles; within that,
     the larger side gets more blocks, because every query block may be sent to
     every candidate block and the other way round."""
+    wanted = 2 * slots
     least_q, least_c = max(1, -(-q_bytes // side_bytes)), max(1, -(-c_bytes // side_bytes))
-    balanced = round(math.sqrt(slots * max(q_bytes, 1) / max(c_bytes, 1)))
-    n_qb = max(least_q, min(slots, max(1, balanced)))
-    return n_qb, max(least_c, -(-slots // n_qb))
+    balanced = round(math.sqrt(wanted * max(q_bytes, 1) / max(c_bytes, 1)))
+    n_qb = max(least_q, min(wanted, max(1, balanced)))
+    return n_qb, max(least_c, -(-wanted // n_qb))
 
 
 def _tiles(pairs, q_res, c_res, q_id, c_id, residue_col, side_bytes):

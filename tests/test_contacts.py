@@ -100,8 +100,8 @@ def test_no_pairs(spark, proteins):
 
 def test_the_larger_side_gets_more_blocks():
     mb = 1 << 20
-    assert contacts.tile_counts(100 * mb, 100 * mb, 16, 128 * mb) == (4, 4)
-    n_qb, n_cb = contacts.tile_counts(mb, 10_000 * mb, 64, 128 * mb)
+    assert contacts.tile_counts(100 * mb, 100 * mb, 8, 128 * mb) == (4, 4)
+    n_qb, n_cb = contacts.tile_counts(mb, 10_000 * mb, 32, 128 * mb)
     assert n_qb == 1 and n_cb >= 79
     n_qb, n_cb = contacts.tile_counts(0, 0, 8, 128 * mb)
     assert n_qb * n_cb >= 8
