@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairscreen.llm.shared import numbered, texts
-from pairscreen.llm.tokens import encode_texts, encoder
+from pairscreen.llm.tokens import encode_long, encoder
 from pairscreen.session import materialise
 
 #: Pieces that one group holds on average: enough for full bins, little for a task.
@@ -58,12 +58,12 @@ def cut_ids(docs, path, id_col="doc_id", text_col="text", capacity=1024, end_id=
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        encode = encoder(path, False)
+        encode = encoder(path)
         for batch in batches:
             ids = batch.column("id")
             row, start, length, crc, total = [], [], [], [], []
-            for i, raw in enumerate(encode_texts(encode, texts(batch, "text"), b"".join)):
-                raw = memoryview(raw + end)
+            for i, text in enumerate(texts(batch)):
+                raw = memoryview(encode_long(encode, text).astype("<u4", copy=False).tobytes() + end)
                 n = len(raw) // 4
                 for s in range(0, n, capacity):
                     e = min(n, s + capacity)

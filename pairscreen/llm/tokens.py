@@ -3,12 +3,12 @@
 A tokenizer of this family first cuts a text by a pattern in which a lone space
 between two characters that are not white space always begins a new part, and no
 special token holds a space.  So a text may be cut before any such space and its
-parts encoded by themselves: the ids are the same.  That gives two things:
-texts of any length are encoded in bounded pieces, and a part that was seen
-before need not be encoded again.
+parts encoded by themselves: the ids are the same, and texts of any length are
+encoded in bounded pieces.
 """
 
 import functools
+import json
 import os
 import re
 
@@ -16,20 +16,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pairscreen.llm.shared import by_bytes, numbered, texts
+from pairscreen.llm.shared import numbered, texts
 
 #: A lone space between two characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A space with white space, or an end of the text, beside it.
-_NOT_LONE = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
+#: The pattern of byte-level pre-tokenizers (fixed value).
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters that one call works on at once, and parts remembered per worker.
-CHUNK_CHARS = 1 << 20
-MEMO = 400_000
+#: A longer text is encoded in pieces of about so many characters.
+PIECE_CHARS = 1 << 20
 
 
-def split_long(text, limit):
+def split_long(text, limit=None):
     """Cut at the first safe place after every ``limit`` characters."""
+    limit = limit or PIECE_CHARS
     at = 0
     while len(text) - at > limit:
         found = _CUT.search(text, at + limit)
@@ -40,70 +40,68 @@ def split_long(text, limit):
     yield text[at:]
 
 
-def parts(text):
-    """Parts between safe places.  All but the first have lost the space that
-    they begin with."""
-    return _CUT.split(text) if _NOT_LONE.search(text) else text.split(" ")
+def _byte_of_sign():
+    """Byte-level vocabularies write printable bytes as themselves and all others
+    by the next characters from 256 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(256, 512))
+    return {chr(b if b in own else next(other)): b for b in range(256)}
 
 
-class PartEncoder:
-    """Encodes texts by parts.  ``keep`` says what is remembered of the ids of a
-    part; ``total`` puts together what was kept of a text's parts."""
-
-    def __init__(self, tokenizer, keep, total):
-        self.tokenizer, self.keep, self.total = tokenizer, keep, total
-        self.spaced = {}
-
-    def _encode(self, items):
-        return [self.keep(e.ids) for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
-
-    def __call__(self, items):
-        cut = [parts(t) for t in items]
-        firsts = self._encode([p[0] for p in cut])
-        need = set()
-        for p in cut:
-            need.update(p[1:])
-        if len(self.spaced) > MEMO:
-            self.spaced = {k: self.spaced[k] for k in need & self.spaced.keys()}
-        need = list(need - self.spaced.keys())
-        for i in range(0, len(need), 10_000):
-            some = need[i : i + 10_000]
-            self.spaced.update(zip(some, self._encode([" " + p for p in some])))
-        get = self.spaced.__getitem__
-        return [self.total([first, *map(get, p[1:])]) for first, p in zip(firsts, cut)]
-
-
-def _as_bytes(ids):
-    return np.array(ids, dtype="<u4").tobytes()
+def _ranks(spec):
+    """Ranks of a byte-level BPE whose ids follow its merges, else ``None``."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if not (plain and usual) or spec["normalizer"] or spec["post_processor"] or spec["truncation"] or spec["padding"]:
+        return None
+    vocabulary = model["vocab"]
+    merges = (m if isinstance(m, str) else " ".join(m) for m in model["merges"])
+    merged = [vocabulary[m.replace(" ", "")] for m in merges]
+    special = {t["content"] for t in spec["added_tokens"]}
+    if merged != sorted(set(merged)) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        return None
+    byte = _byte_of_sign()
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path, lengths_only):
-    """One tokenizer per Python worker, kept for the tasks that follow."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return PartEncoder(tokenizer, len, sum) if lengths_only else PartEncoder(tokenizer, _as_bytes, b"".join)
-
-
-def encode_texts(encode, items, join):
-    """Encode texts of any length in runs balanced by their size.  Yields what
-    ``encode`` gives for each text; ``join`` puts the pieces of a long one together."""
-    for start, stop in by_bytes(items, CHUNK_CHARS):
-        if stop - start > 1 or len(items[start]) <= CHUNK_CHARS:
-            yield from encode(items[start:stop])
-        else:
-            yield join([encode([piece])[0] for piece in split_long(items[start], CHUNK_CHARS)])
-
-
-def count_tokens(docs, path, id_col="doc_id", text_col="text", limit=1024):
+def encoder(path):
+    """Function from a text to its ids, kept by the Python worker for the tasks that
+    follow.  ``path`` is a JSON file of ``tokenizers``.  A plain byte-level BPE is
+    run by ``tiktoken`` from the same vocabulary, which gives the same ids several
+    times faster; any other by ``tokenizers`` itself."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ranks = _ranks(spec)
+    if ranks is None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    import tiktoken
+
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    encoding = tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+
+def encode_long(encode, text):
+    """Ids of a text of any length."""
+    if len(text) <= PIECE_CHARS:
+        return encode(text)
+    return np.concatenate([encode(piece) for piece in split_long(text)])
+
+
+def count_tokens(docs, path, id_col="doc_id", text_col="text", limit=1024, batch_bytes=4 << 20):
     """Token counts of whole texts: ``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``
     and ``over_limit`` (more tokens than ``limit``).
 
     ``path`` is a ``tokenizers`` JSON file that every executor can read.  Strings
     of special tokens inside a text count as the tokenizer takes them by default.
-    Nothing but lengths leaves the task, and there is no shuffle.
+    Rows come in Arrow batches, which are encoded in runs of about ``batch_bytes``;
+    nothing but lengths leaves the task, and there is no shuffle.
 
     A null text is empty: 0 bytes, 0 tokens.  A null id stays null.  Repeated rows
     are counted one by one, an empty table gives none, other columns are ignored.
@@ -111,19 +109,22 @@ def count_tokens(docs, path, id_col="doc_id", text_col="text", limit=1024):
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        encode = encoder(path, True)
-        for batch in batches:
-            n = list(encode_texts(encode, texts(batch, "text"), sum))
-            tokens = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()),
-                    tokens,
-                    pc.greater(tokens, limit),
-                ],
-                names=["id", "n_bytes", "n_tokens", "over_limit"],
-            )
+        encode = encoder(path)
+        for whole in batches:
+            size = pc.fill_null(pc.binary_length(whole.column("text")), 0).cast(pa.int64())
+            bounds = np.cumsum(size.to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                done = bounds[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(bounds, done + batch_bytes, side="right")))
+                batch = whole.slice(at, stop - at)
+                n = [sum(len(encode(piece)) for piece in split_long(t)) for t in texts(batch)]
+                tokens = pa.array(n, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), size.slice(at, stop - at), tokens, pc.greater(tokens, limit)],
+                    names=["id", "n_bytes", "n_tokens", "over_limit"],
+                )
+                at = stop
 
     schema = numbered([("id", kind), ("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")])
     found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
