@@ -3,7 +3,7 @@ against suffix automata of reference shards.
 
 To stream every document past the automata of all shards would be work in the
 square of the corpus.  So the corpus is cut by content: each window of words has an
-anchor, the three-word run in it with the least hash, and all windows of one anchor
+anchor, the five-word run in it with the least hash, and all windows of one anchor
 meet in one shard.  A shard has an automaton over its different segments (the
 windows of one place of an anchor), and the segments are streamed past it.
 """
@@ -11,6 +11,7 @@ windows of one place of an anchor), and the segments are streamed past it.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import functions as F
 
 from pairscreen.llm.shared import bytes_of, numbered
@@ -19,21 +20,48 @@ from pairscreen.llm.word_table import WordTable, scramble
 from pairscreen.session import materialise
 
 #: Words of an anchor.
-_GRAM = 3
-#: Bytes of text that a task works on at once.
+_GRAM = 5
+#: Bytes of text that a task works on at once, and of packed text.
 _BYTES = 4 << 20
+_PACKED = 1 << 20
+#: Places of one anchor that a task keeps until it knows all of its segments.
+HOLD = 65_536
 
 
-def _slices(batch):
+def _slices(batch, name="text", size=_BYTES):
     """Cut a batch into runs of rows of bounded size."""
-    _, rows = bytes_of(batch.column("text"))
+    _, rows = bytes_of(batch.column(name))
     at = 0
     while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(rows, rows[at] + _BYTES, side="right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(rows, rows[at] + size, side="right")) - 1)
         yield batch.slice(at, stop - at)
         at = stop
 
 
+def _packed(docs):
+    """``(id, hash, packed)``: texts travel compressed, which halves what is shuffled."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [press.compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("hash"), pa.array(packed, pa.binary())], names=["id", "hash", "packed"]
+            )
+
+    rows = docs.select("id", F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(run, "id long, hash long, packed binary")
+
+
+def _opened(batches):
+    """Bounded runs of rows with their word table."""
+    press = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for batch in _slices(whole, "packed", _PACKED):
+            plain = pa.array([press.decompress(p) for p in batch.column("packed").to_pylist()], pa.large_binary())
+            yield batch, WordTable(*bytes_of(plain))
+
+
 def segments(table, size):
     """Segments of a batch of texts: maximal runs of windows with one place as
     anchor.  Arrays: anchor hash, first window (a word number), windows."""
@@ -102,151 +130,176 @@ def _cut_segments(size):
     segments with these anchors, as text."""
 
     def run(batches):
-        for whole in batches:
-            for batch in _slices(whole):
-                table = WordTable(*bytes_of(batch.column("text")))
-                anchor, first, count = segments(table, size)
-                row = table.row[first]
-                listed = batch.column("anchors")
-                owner = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
-                wanted = listed.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                key = scramble(anchor + row.astype(np.uint64))
-                use = np.isin(key, scramble(wanted + owner.astype(np.uint64)))
-                anchor, first, count, row = anchor[use], first[use], count[use], row[use]
-                table.normalise()
-                clean = table.clean.tobytes()
-                begin = table.at[first].tolist()
-                end = (table.at[first + count + size - 1] - 1).tolist()
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor.view(np.int64)),
-                        batch.column("id").take(take),
-                        batch.column("hash").take(take),
-                        pa.array((first - table.first[row]).astype(np.int32)),
-                        pa.array([clean[b:e] for b, e in zip(begin, end)], pa.binary()),
-                    ],
-                    names=["anchor", "id", "hash", "at", "segment"],
-                )
+        for batch, table in _opened(batches):
+            anchor, first, count = segments(table, size)
+            row = table.row[first]
+            listed = batch.column("anchors")
+            owner = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
+            wanted = listed.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            key = scramble(anchor + row.astype(np.uint64))
+            use = np.isin(key, scramble(wanted + owner.astype(np.uint64)))
+            anchor, first, count, row = anchor[use], first[use], count[use], row[use]
+            table.normalise()
+            clean = table.clean.tobytes()
+            begin = table.at[first].tolist()
+            end = (table.at[first + count + size - 1] - 1).tolist()
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchor.view(np.int64)),
+                    batch.column("id").take(take),
+                    batch.column("hash").take(take),
+                    pa.array((first - table.first[row]).astype(np.int32)),
+                    pa.array([clean[b:e] for b, e in zip(begin, end)], pa.binary()),
+                ],
+                names=["anchor", "id", "hash", "at", "segment"],
+            )
 
     return run
 
 
-def _least_owners(size):
-    """Task over different segments sorted by anchor and least id: per segment the
-    least id that has each of its windows, where one is below the largest."""
+_FOUND = pa.schema(
+    [
+        ("kind", pa.int8()),
+        ("anchor", pa.int64()),
+        ("number", pa.int32()),
+        ("id", pa.int64()),
+        ("hash", pa.int64()),
+        ("at", pa.int32()),
+        ("mask", pa.int32()),
+        ("least", pa.list_(pa.int64())),
+    ]
+)
+_FOUND_DDL = "kind tinyint, anchor long, number int, id long, hash long, at int, mask int, least array<long>"
+
+
+def _least_owners(texts, size):
+    """Per segment, for each of its windows, the least id of a segment that has it.
+    ``texts`` are different segments with the least id of each."""
+    if len(texts) == 1:  # all of it matches itself
+        return [[texts[0][1]] * (texts[0][0].count(b" ") + 2 - size)]
+    automaton = SuffixAutomaton()
+    split = [segment.split(b" ") for segment, _ in texts]
+    for i in sorted(range(len(texts)), key=lambda i: texts[i][1]):
+        automaton.add(split[i], texts[i][1])
+    return [automaton.least_marks(words, size) for words in split]
+
+
+def _against_shard(size, hold):
+    """Task over segments sorted by anchor, text and id, which streams each anchor's
+    places and keeps its different segments.
+
+    Kind 0: a place whose document loses windows, with their bits in ``mask``.  An
+    anchor with more than ``hold`` places gives them as they come (kind 1) and its
+    segments with their least owners behind them (kind 2), to be joined.
+    """
 
-    def settle(anchor, rows, out):
-        if len(rows) == 1:
-            segment, low, high = rows[0]
-            if low < high:
-                out.append((anchor, segment, [low] * (segment.count(b" ") + 2 - size)))
+    def finish(anchor, texts, places, over, out):
+        if not texts or not over and places[0][1] == places[-1][1] and len({p[1] for p in places}) == 1:
             return
-        automaton = SuffixAutomaton()
-        split = [segment.split(b" ") for segment, _, _ in rows]
-        for words, (_, low, _) in zip(split, rows):
-            automaton.add(words, low)
-        for words, (segment, _, high) in zip(split, rows):
-            least = automaton.least_marks(words, size)
-            if min(least) < high:
-                out.append((anchor, segment, least))
+        least = _least_owners(texts, size)
+        if over:
+            out += [(1, anchor, n, i, h, a, None, None) for n, i, h, a in places]
+            out += [(2, anchor, n, None, None, None, None, m) for n, m in enumerate(least)]
+            return
+        bounds = [(min(m), max(m)) for m in least]
+        for n, i, h, a in places:
+            low, high = bounds[n]
+            if low >= i:
+                continue
+            marks = least[n]
+            mask = (1 << len(marks)) - 1 if high < i else sum((m < i) << j for j, m in enumerate(marks))
+            out.append((0, None, None, i, h, a, mask, None))
 
     def pack(out):
-        anchor, segment, least = zip(*out)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor, pa.int64()), pa.array(segment, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
-            names=["anchor", "segment", "least"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
 
     def run(batches):
-        now, rows, out = None, [], []
+        now, texts, places, over, out = None, [], [], False, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "segment", "low", "high")]
-            for anchor, *row in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "segment", "id", "hash", "at")]
+            for anchor, segment, i, h, a in zip(*columns):
                 if anchor != now:
-                    if rows:
-                        settle(now, rows, out)
-                    now, rows = anchor, []
-                rows.append(row)
+                    finish(now, texts, places, over, out)
+                    now, texts, places, over = anchor, [], [], False
+                if not texts or texts[-1][0] != segment:
+                    texts.append((segment, i))
+                places.append((len(texts) - 1, i, h, a))
+                if len(places) > hold:
+                    over = True
+                    out += [(1, anchor, n, i, h, a, None, None) for n, i, h, a in places]
+                    places = []
+                    yield pack(out)
+                    out = []
             if out:
                 yield pack(out)
                 out = []
-        if rows:
-            settle(now, rows, out)
+        finish(now, texts, places, over, out)
         if out:
             yield pack(out)
 
     return run
 
 
-def repeated_spans(docs, size=13, id_col="doc_id", text_col="text"):
+def repeated_spans(docs, size=13, id_col="doc_id", text_col="text", hold=HOLD):
     """Where documents repeat others: ``id``, ``hash`` (of the text), ``spans``, an
-    array of (at, least): the first word of a segment, and per window from there
-    the least id that has it.  Documents without any have no row."""
+    array of (at, mask): a word number, and which of the windows from there on
+    another document with a smaller id has.  Documents without any have no row."""
+    if size < _GRAM or size > 32:
+        raise ValueError(f"windows have {_GRAM} to 32 words")
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     known = base.where(F.col("id").isNotNull())
     pairs = _anchors(known, size).repartition("anchor").sortWithinPartitions("anchor", "id")
     shared = pairs.mapInArrow(_shared, "anchor long, id long")
     wanted = shared.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    cut = known.join(wanted, "id").select("id", F.xxhash64("text").alias("hash"), "text", "anchors")
-    schema = "anchor long, id long, hash long, at int, segment binary"
-    found = materialise(cut.mapInArrow(_cut_segments(size), schema), "segments")
-    # Copies of a segment are one row before anything is shuffled by content.
-    different = found.groupBy("anchor", "segment").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shards = different.repartition("anchor").sortWithinPartitions("anchor", "low")
-    least = shards.mapInArrow(_least_owners(size), "anchor long, segment binary, least array<long>")
-    key = [F.col("anchor"), F.xxhash64("segment").alias("part")]
-    places = found.select(*key, "id", "hash", "at")
-    hits = places.join(least.select(*key, "least"), ["anchor", "part"]).where(
-        F.exists("least", lambda m: m < F.col("id"))
+    cut = _packed(known).join(wanted, "id").mapInArrow(
+        _cut_segments(size), "anchor long, id long, hash long, at int, segment binary"
     )
-    return hits.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "least")).alias("spans"))
+    shards = cut.repartition("anchor").sortWithinPartitions("anchor", "segment", "id")
+    found = materialise(shards.mapInArrow(_against_shard(size, hold), _FOUND_DDL), "repeats")
+    hot = found.where("kind = 1").select("anchor", "number", "id", "hash", "at")
+    hot = hot.join(found.where("kind = 2").select("anchor", "number", "least"), ["anchor", "number"])
+    bits = F.transform("least", lambda m, j: F.when(m < F.col("id"), F.call_function("shiftleft", F.lit(1), j)).otherwise(0))
+    mask = F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseOR(b))
+    hot = hot.select("id", "hash", "at", mask.alias("mask")).where("mask != 0")
+    hits = found.where("kind = 0").select("id", "hash", "at", "mask").union(hot)
+    return hits.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "mask")).alias("spans"))
 
 
 def _kept(size):
     """Task that takes the removed words out of whole texts."""
 
     def run(batches):
-        for whole in batches:
-            for batch in _slices(whole):
-                table = WordTable(*bytes_of(batch.column("text")))
-                table.normalise()
-                change = np.zeros(len(table) + 1, np.int64)
-                spans = batch.column("spans")
-                owner = np.repeat(
-                    np.arange(batch.num_rows), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                )
-                flat = spans.flatten()
-                if len(flat):
-                    least = flat.field("least")
-                    widths = least.value_lengths().to_numpy(zero_copy_only=False)
-                    at = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
-                    starts = np.repeat(table.first[owner] + at - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
-                    # Rows without id have no spans.
-                    ids = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False)
-                    gone = starts[least.flatten().to_numpy(zero_copy_only=False) < np.repeat(ids[owner], widths)]
-                    np.add.at(change, gone, 1)
-                    np.add.at(change, gone + size, -1)
-                removed = np.cumsum(change[:-1]) > 0
-                # Byte by byte: a word goes with the space behind it.
-                left = table.clean[np.repeat(~removed, np.diff(table.at))].tobytes()
-                size_left = np.concatenate([[0], np.cumsum(np.where(removed, 0, np.diff(table.at)))])[table.first]
-                texts = [left[a : max(a, b - 1)] for a, b in zip(size_left[:-1].tolist(), size_left[1:].tolist())]
-                count = np.concatenate([[0], np.cumsum(removed)])[table.first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array(np.diff(table.first)),
-                        pa.array(np.diff(count)),
-                        pa.array([t.decode() for t in texts], pa.string()),
-                    ],
-                    names=["id", "n_words", "n_removed", "kept"],
-                )
+        for batch, table in _opened(batches):
+            table.normalise()
+            change = np.zeros(len(table) + size + 1, np.int64)
+            spans = batch.column("spans")
+            flat = spans.flatten()
+            if len(flat):
+                lengths = pc.fill_null(spans.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(batch.num_rows), lengths)
+                first = table.first[owner] + flat.field("at").to_numpy(zero_copy_only=False)
+                mask = flat.field("mask").to_numpy(zero_copy_only=False)
+                place, bit = np.nonzero((mask[:, None] >> np.arange(size)) & 1)
+                gone = first[place] + bit
+                np.add.at(change, gone, 1)
+                np.add.at(change, gone + size, -1)
+            removed = np.cumsum(change)[: len(table)] > 0
+            # Byte by byte: a word goes with the space behind it.
+            width = np.diff(table.at)
+            left = table.clean[np.repeat(~removed, width)].tobytes()
+            bounds = np.concatenate([[0], np.cumsum(np.where(removed, 0, width))])[table.first].tolist()
+            texts = [left[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1], bounds[1:])]
+            count = np.concatenate([[0], np.cumsum(removed)])[table.first]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(np.diff(table.first)), pa.array(np.diff(count)), pa.array(texts, pa.string())],
+                names=["id", "n_words", "n_removed", "kept"],
+            )
 
     return run
 
 
-def remove_repeats(docs, size=13, id_col="doc_id", text_col="text"):
+def remove_repeats(docs, size=13, id_col="doc_id", text_col="text", hold=HOLD):
     """Whole texts without the passages that a document with a smaller id has too:
     ``id_col``, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one
     space).
@@ -262,10 +315,7 @@ def remove_repeats(docs, size=13, id_col="doc_id", text_col="text"):
     whole numbers.
     """
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    base = base.select("id", F.xxhash64("text").alias("hash"), "text")
-    spans = repeated_spans(docs, size, id_col, text_col)
-    rows = base.join(spans, ["id", "hash"], "left").select("id", "text", "spans")
+    spans = repeated_spans(docs, size, id_col, text_col, hold)
+    rows = _packed(base).join(spans, ["id", "hash"], "left").select("id", "packed", "spans")
     schema = numbered([("id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept", "string")])
     return rows.mapInArrow(_kept(size), schema).withColumnRenamed("id", id_col)
-
-
