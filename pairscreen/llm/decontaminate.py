@@ -91,7 +91,8 @@ def contamination(
         F.lit("").alias("window"), F.array().cast("array<string>").alias("items"),
     )
     table = table.union(end)
-    if held <= broadcast_bytes:
+    small = held <= broadcast_bytes
+    if small:
         table = F.broadcast(table)
     text = docs[text_col]
     cut = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("text_hash"), words(text).alias("words"))
@@ -99,9 +100,13 @@ def contamination(
         "id", "text_hash", "words", F.size("words").alias("n"),
         F.posexplode(F.concat("words", F.array(F.lit(_END)))).alias("pos", "word"),
     )
+    from_ = F.lit(0)
+    if not small:  # a shuffled word takes along its surroundings, not the whole text
+        from_ = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+        each = each.withColumn("words", F.slice("words", from_ + 1, F.lit(2 * size - 1)))
     first = F.col("pos") - F.col("offset")
     inside = (first >= 0) & (first + F.col("width") <= F.col("n"))
-    same = F.array_join(F.slice("words", F.greatest(first + 1, F.lit(1)), F.col("width")), " ") == F.col("window")
+    same = F.array_join(F.slice("words", F.greatest(first - from_ + 1, F.lit(1)), F.col("width")), " ") == F.col("window")
     at_end = F.col("anchor") == _END
     hits = each.join(table, (F.col("word") == F.col("anchor")) & (at_end | (inside & same)))
     span = F.when(~at_end, F.struct(first.alias("start"), (first + F.col("width")).alias("stop")))
