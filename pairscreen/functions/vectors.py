@@ -21,7 +21,9 @@ def inner_product(a, b):
 def l2_normalise(v, eps=1e-12):
     v = _c(v)
     norm = F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(eps)))
+    # Bound to a variable of its own, or each element would compute it again.
+    once = F.array(F.greatest(norm, F.lit(eps)))
+    return F.transform(once, lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def sigmoid(x):

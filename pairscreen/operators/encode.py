@@ -7,10 +7,11 @@ the real one in here.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairscreen.operators.arrow_runs import column, table
+from pairscreen.operators.arrow_runs import column
 from pairscreen.session import spread
 
 CHUNK_VALUES = 8_000_000  # residue values per output batch
@@ -54,37 +55,35 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-class Projection:
-    """Mean over positions, a gated two-layer map, unit length."""
+class LinearHead:
+    """A stand-in for a trained head: a seeded linear map of the mean over
+    positions, unit length.  A head is any callable from an (n, dim) matrix of such
+    means to an (n, out) matrix."""
 
-    def __init__(self, w1, w2, w3):
-        self.w1, self.w2, self.w3 = w1, w2, w3
+    def __init__(self, dim, out, seed):
+        self.weights = np.random.default_rng(seed).standard_normal((dim, out)) / np.sqrt(dim)
 
-    @classmethod
-    def random(cls, dim, out, seed, hidden_mult=2.0):
-        rng = np.random.default_rng(seed)
-        hidden = int(dim * hidden_mult)
-        shapes = [(hidden, dim), (out, hidden), (hidden, dim)]
-        return cls(*[rng.standard_normal(s) / np.sqrt(s[1]) for s in shapes])
-
-    def __call__(self, residues):
-        pooled = residues.astype(np.float64).sum(axis=0) / max(1, len(residues))
-        gate = self.w1 @ pooled
-        hidden = gate / (1 + np.exp(-gate)) * (self.w3 @ pooled)
-        v = self.w2 @ hidden
-        return (v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32)
+    def __call__(self, means):
+        v = means @ self.weights
+        return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def default_heads(encoder, out=64):
-    """Query and key projections with weights of their own."""
-    return Projection.random(encoder.dim, out, 1), Projection.random(encoder.dim, out, 2)
+    """Query and key heads with weights of their own."""
+    return LinearHead(encoder.dim, out, 1), LinearHead(encoder.dim, out, 2)
+
+
+def _vectors(m):
+    """Rows of a matrix as an Arrow list column."""
+    flat = pa.array(np.ascontiguousarray(m, dtype=np.float32).reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), flat)
 
 
 def encode(
-    df, ids, sequence="sequence", encoder=None, heads=None, max_len=1024, residues=True, deal=True
+    df, ids, sequence="sequence", encoder=None, heads=None, max_len=None, residues=True, deal=True
 ):
     """``ids`` plus ``length``, ``q``, ``k`` and, if asked for, ``residues``.
-    ``max_len=None`` reads whole sequences.  Output batches are cut by volume,
+    Whole sequences are read unless the caller names a ``max_len``.  Output batches are cut by volume,
     so one task never holds more than a few long sequences.  ``deal`` shares a
     small input out over all slots first."""
     encoder = encoder or HashedKmerEncoder()
@@ -99,13 +98,14 @@ def encode(
     schema = to_arrow_schema(out)
 
     def pack(rows, mats):
-        cols = {c: [r[i] for r in rows] for i, c in enumerate(ids)}
-        cols["length"] = [len(m) for m in mats]
-        cols["q"] = [head_q(m) for m in mats]
-        cols["k"] = [head_k(m) for m in mats]
+        lengths = np.array([len(m) for m in mats], dtype=np.int64)
+        means = np.stack([m.sum(axis=0, dtype=np.float64) / max(1, len(m)) for m in mats])
+        columns = [pa.array([r[i] for r in rows], schema.field(c).type) for i, c in enumerate(ids)]
+        columns += [pa.array(lengths, pa.int32()), _vectors(head_q(means)), _vectors(head_k(means))]
         if residues:
-            cols["residues"] = [list(m) for m in mats]
-        return table(schema, **cols)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _vectors(np.concatenate(mats))))
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def task(batches):
         model = encoder.load()

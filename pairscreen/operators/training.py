@@ -12,6 +12,10 @@ from pairscreen.operators.knowns import UNKNOWN, normalise_clusters
 from pairscreen.session import spread
 
 
+#: Stands for no limit on a length: the most that a column can hold.
+NO_LIMIT = 2**31 - 1
+
+
 def require_min(df, n, what="sequences"):
     """Fail unless there are at least ``n`` rows; reads no more than ``n``."""
     found = df.limit(n).count()
@@ -93,12 +97,14 @@ def contact_cells(df, max_len, contacts="contacts", len1="len1", len2="len2"):
         return F.sequence(F.lit(0), F.least(F.col(col), F.lit(max_len)).cast("int") - 1)
 
     hits = contact_cells_expr(clip_contacts_expr(contacts, len1, len2, max_len))
+    # Each row of the map keeps its own contacts only, before its cells are made.
+    row = F.transform(F.filter("__hits", lambda h: h["i"] == F.col("i")), lambda h: h["j"])
     return (
         df.where((F.col(len1) > 0) & (F.col(len2) > 0))
         .select(*others, hits.alias("__hits"), F.explode(upto(len1)).alias("i"), len2)
-        .select(*others, "__hits", "i", F.explode(upto(len2)).alias("j"))
-        .withColumn("target", F.array_contains("__hits", F.struct("i", "j")).cast("int"))
-        .drop("__hits")
+        .select(*others, row.alias("__row"), "i", F.explode(upto(len2)).alias("j"))
+        .withColumn("target", F.array_contains("__row", F.col("j")).cast("int"))
+        .drop("__row")
     )
 
 
@@ -111,7 +117,7 @@ def label_cells(positives, negatives):
 def training_records(
     df,
     id_col,
-    max_len=512,
+    max_len=None,
     special=0,
     seed=42,
     swap=0.5,
@@ -123,12 +129,13 @@ def training_records(
     contacts="contacts",
 ):
     """Swap, normalise clusters, clip contacts against the raw lengths and the
-    map size, then truncate; with both effective lengths."""
+    map size, then truncate; with both effective lengths.  Nothing is cut unless
+    the caller names a ``max_len``."""
     rows = df.withColumns({"len1": F.length(seq1), "len2": F.length(seq2)})
     sides = [(seq1, seq2), (c1, c2), ("len1", "len2")]
     rows = swap_augment(rows, id_col, sides, seed, swap, contacts, epoch)
-    rows = clip_contacts(normalise_clusters(rows, (c1, c2)), max_len - special, contacts)
-    room = max_len - special
+    room = NO_LIMIT if max_len is None else max_len - special
+    rows = clip_contacts(normalise_clusters(rows, (c1, c2)), room, contacts)
     return rows.withColumns(
         {
             seq1: F.substring(seq1, 1, room),

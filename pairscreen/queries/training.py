@@ -32,9 +32,9 @@ def cluster_normalise(spark, d):
 
 
 def known_mask(spark, d):
-    """Is a returned item's part and supplier known from the other items?"""
+    """Is an item's part and supplier known from the interactions?"""
     known = knowns.interaction_keys(interactions(spark, d))
-    pairs = load(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+    pairs = load(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("c1"), F.col("l_suppkey").alias("c2")
     )
     return knowns.mark_known(pairs, known)
@@ -102,11 +102,21 @@ def clip_contacts(spark, d):
     return clipped.select("l_orderkey", F.inline("contacts"))
 
 
+MAP = 512
+
+
 def labelled_cells(spark, d):
-    rows = _contact_lists(spark, d).withColumn("len2", F.least("len2", F.lit(12)))
-    positive = training.contact_cells(rows, 5)
-    negative = training.contact_cells(rows.withColumn("l_orderkey", -F.col("l_orderkey") - 1), 2)
-    return training.label_cells(positive, negative.drop("target"))
+    """All cells of the maps of all orders, summed up per map."""
+    rows = _contact_lists(spark, d)
+    positive = training.contact_cells(rows, MAP)
+    negative = training.contact_cells(rows.withColumn("l_orderkey", -F.col("l_orderkey") - 1), MAP)
+    cells = training.label_cells(positive, negative.drop("target"))
+    return cells.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.sum("target").alias("n_targets"),
+        F.sum(F.col("i") * F.col("target")).alias("sum_i"),
+        F.sum(F.col("j") * F.col("target")).alias("sum_j"),
+    )
 
 
 def swap_augment(spark, d):
@@ -117,7 +127,8 @@ def swap_augment(spark, d):
 
 
 def training_records(spark, d):
-    """Each document with the one before it, labels as clusters."""
+    """Each document with the one before it (none before the first), whole texts,
+    labels as clusters."""
     docs = load(spark, d, "documents")
     labels = load(spark, d, "labels")
     contact = F.struct(F.col("l_linenumber").alias("i"), F.col("l_quantity").cast("int").alias("j"))
@@ -126,7 +137,8 @@ def training_records(spark, d):
     )
     rows = (
         docs.select("doc_id", F.col("text").alias("seq1"))
-        .join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("seq2")), "doc_id")
+        .join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("seq2")), "doc_id", "left")
+        .withColumn("seq2", F.coalesce("seq2", F.lit("")))
         .join(lists, "doc_id", "left")
         .join(
             labels.select("doc_id", F.col("quality").alias("seq1_cluster"), F.col("toxic").alias("seq2_cluster")),
@@ -134,7 +146,7 @@ def training_records(spark, d):
             "left",
         )
     )
-    made = training.training_records(rows, "doc_id", max_len=512, special=2, seed=SEED)
+    made = training.training_records(rows, "doc_id", seed=SEED)
     return made.select(
         "doc_id",
         "swapped",
@@ -222,7 +234,7 @@ SQL = {
     "known_mask": f"""WITH {_KNOWN}
         SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS c1, l.l_suppkey AS c2, k.c1 IS NOT NULL AS known
         FROM lineitem l LEFT JOIN known k ON k.c1 = l.l_partkey AND k.c2 = l.l_suppkey
-        WHERE l.l_returnflag = 'R'""",
+        """,
     "dataset_summary": f"""WITH {_MEMBERS}
         SELECT (SELECT count(*) FROM inter) AS n_examples,
                (SELECT count(*) FROM inter WHERE seq1_cluster IS NULL) AS n_without_clusters,
@@ -247,13 +259,14 @@ SQL = {
         SELECT l_orderkey, i, j FROM items JOIN lists USING (l_orderkey)
         WHERE i < least(len1, 32) AND j < least(len2, 32)""",
     "labelled_cells": f"""WITH {_LISTS},
-        grid AS (SELECT l_orderkey, i.i::INTEGER AS i, j.j::INTEGER AS j FROM lists
-                 CROSS JOIN (SELECT unnest(range(0, 5)) AS i) i CROSS JOIN (SELECT unnest(range(0, 5)) AS j) j
-                 WHERE i.i < len1 AND j.j < least(len2, 12)),
-        hits AS (SELECT DISTINCT l_orderkey, i, j FROM items)
-        SELECT g.l_orderkey, g.i, g.j, (h.i IS NOT NULL)::INTEGER AS target
-        FROM grid g LEFT JOIN hits h ON h.l_orderkey = g.l_orderkey AND h.i = g.i AND h.j = g.j
-        UNION ALL SELECT -l_orderkey - 1, i, j, 0 FROM grid WHERE i < 2 AND j < 2""",
+        hits AS (SELECT DISTINCT l_orderkey, i, j FROM items JOIN lists USING (l_orderkey)
+                 WHERE i < least(len1, 512) AND j < least(len2, 512)),
+        maps AS (SELECT l_orderkey, least(len1, 512)::BIGINT * least(len2, 512) AS n_cells FROM lists
+                 WHERE len1 > 0 AND len2 > 0)
+        SELECT m.l_orderkey, n_cells, count(h.i) AS n_targets, coalesce(sum(h.i), 0)::BIGINT AS sum_i,
+               coalesce(sum(h.j), 0)::BIGINT AS sum_j
+        FROM maps m LEFT JOIN hits h ON h.l_orderkey = m.l_orderkey GROUP BY m.l_orderkey, n_cells
+        UNION ALL SELECT -l_orderkey - 1, n_cells, 0, 0, 0 FROM maps""",
     "swap_augment": f"""WITH {_LISTS},
         s AS (SELECT *, {_uniform(f"'{SEED}:' || l_orderkey")} < 0.5::DOUBLE AS swapped FROM lists)
         SELECT l_orderkey, swapped, CASE WHEN swapped THEN len2 ELSE len1 END AS len1,
@@ -261,22 +274,22 @@ SQL = {
                CASE WHEN swapped THEN j ELSE i END AS i, CASE WHEN swapped THEN i ELSE j END AS j
         FROM s JOIN items USING (l_orderkey)""",
     "training_records": f"""
-        WITH r AS (SELECT a.doc_id, a.text AS t1, b.text AS t2, coalesce(l.quality, -1)::BIGINT AS c1,
+        WITH r AS (SELECT a.doc_id, a.text AS t1, coalesce(b.text, '') AS t2, coalesce(l.quality, -1)::BIGINT AS c1,
                           coalesce(l.toxic, -1)::BIGINT AS c2,
                           {_uniform(f"'{SEED}:' || a.doc_id")} < 0.5::DOUBLE AS swapped
-                   FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1
+                   FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id - 1
                    LEFT JOIN labels l ON l.doc_id = a.doc_id),
         n AS (SELECT r.doc_id, count(*) AS n FROM r JOIN lineitem ON l_orderkey = r.doc_id
-              WHERE l_linenumber < least(length(t1), 510) AND l_quantity::INTEGER < least(length(t2), 510)
+              WHERE l_linenumber < length(t1) AND l_quantity::INTEGER < length(t2)
               GROUP BY r.doc_id)
         SELECT doc_id, swapped,
-               least(length(CASE WHEN swapped THEN t2 ELSE t1 END), 510)::INTEGER AS len1,
-               least(length(CASE WHEN swapped THEN t1 ELSE t2 END), 510)::INTEGER AS len2,
+               length(CASE WHEN swapped THEN t2 ELSE t1 END)::INTEGER AS len1,
+               length(CASE WHEN swapped THEN t1 ELSE t2 END)::INTEGER AS len2,
                CASE WHEN swapped THEN c2 ELSE c1 END AS seq1_cluster,
                CASE WHEN swapped THEN c1 ELSE c2 END AS seq2_cluster,
                coalesce(n, 0)::INTEGER AS n_contacts,
-               md5(substr(CASE WHEN swapped THEN t2 ELSE t1 END, 1, 510)) AS seq1_md5,
-               md5(substr(CASE WHEN swapped THEN t1 ELSE t2 END, 1, 510)) AS seq2_md5
+               md5(CASE WHEN swapped THEN t2 ELSE t1 END) AS seq1_md5,
+               md5(CASE WHEN swapped THEN t1 ELSE t2 END) AS seq2_md5
         FROM r LEFT JOIN n USING (doc_id)""",
     "cluster_sample": f"""WITH {_MEMBERS},
         loose AS (SELECT {', '.join(EXAMPLE)}, row_number() OVER (ORDER BY {', '.join(EXAMPLE)}) - 1 AS slot

@@ -17,7 +17,7 @@ CHUNK = 2_000  # proteins of one proteome that one task encodes in a row
 
 
 class EncodedStore:
-    def __init__(self, spark, path, encoder=None, heads=None, max_len=1024):
+    def __init__(self, spark, path, encoder=None, heads=None, max_len=None):
         self.spark, self.path = spark, path
         self.encoder = encoder or HashedKmerEncoder()
         self.heads = heads or default_heads(self.encoder)

@@ -5,12 +5,19 @@ from pairscreen.streaming.results import INTERVAL
 
 
 def stream_encode_rows(stream, store, checkpoint, interval=INTERVAL, once=False):
-    """Bring ``store`` up to date with proteins that arrive as rows.  The store
-    skips what it has, so a replayed batch does nothing twice.  A proteome must
-    arrive whole in one batch, as a file does."""
+    """Bring ``store`` up to date with proteins that arrive as rows.  Arriving rows
+    are kept beside the store, by batch, so that a proteome may come in parts: it is
+    encoded from all of its rows so far.  A replayed batch replaces its own rows,
+    and the store skips what it has."""
+    arrived = f"{store.path}-arrived"
 
-    def arrive(batch, _):
-        store.write(store.encode(store.missing(batch)))
+    def arrive(batch, number):
+        rows = batch.select("proteome_id", "seq_idx", "protein_id", "sequence")
+        rows.write.mode("overwrite").parquet(f"{arrived}/batch={number}")
+        kept = store.spark.read.schema(rows.schema).parquet(arrived).select(*rows.columns)
+        touched = store.spark.read.parquet(f"{arrived}/batch={number}").select("proteome_id").distinct()
+        whole = kept.join(touched, "proteome_id", "left_semi").distinct()
+        store.write(store.encode(store.missing(whole)))
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(arrive)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)

@@ -173,3 +173,18 @@ def test_content_hash_ignores_row_order(spark):
     assert one == two
     rows[3] = ("a", 3, "3", "G")
     assert fingerprint.content_hash(proteins(spark, rows), "proteome_id", cols).first().content_hash != one
+
+
+def test_proteome_in_two_batches_keeps_both(spark, tmp_path):
+    from pairscreen.operators.encode import HashedKmerEncoder
+    from pairscreen.sources.store import EncodedStore
+    from pairscreen.streaming.encoding import stream_encode_rows
+
+    schema = "proteome_id string, seq_idx int, protein_id string, sequence string"
+    folder, store = str(tmp_path / "in"), EncodedStore(spark, str(tmp_path / "store"), HashedKmerEncoder(dim=4))
+    for i in range(2):
+        spark.createDataFrame([("p", i, f"x{i}", "ACD" * 500)], schema).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        stream_encode_rows(stream, store, str(tmp_path / "state"), once=True).awaitTermination(60)
+    got = {r["protein_id"]: r["length"] for r in store.read().collect()}
+    assert got == {"x0": 1500, "x1": 1500}
