@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pairscreen.llm.shared import numbered
 from pairscreen.operators.indexing import with_position
+from pairscreen.session import materialise
 
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template nav header footer aside form menu dialog button select textarea svg iframe object canvas head title".split())
@@ -195,8 +196,9 @@ def extract(pages, id_col="page_id", url_col="url", html_col="html"):
 
     Character references are decoded, white space within a block becomes one
     space.  Pages are numbered in the order of host, path and id, which cuts a host
-    with a third of all pages anywhere; only hashes of blocks outside articles travel
-    between neighbours.  A page alone on its host has nothing to be compared with.
+    with a third of all pages anywhere; only hashes of blocks outside articles are
+    written and travel between neighbours.  A page is parsed twice, for its hashes and
+    for its text, as written blocks would take as much disk as the pages.  A page alone on its host has nothing to be compared with.
 
     A null or empty page has an empty text.  Null urls are pages of one host without
     name.  Pages with the same id, url and text are one in the numbering and each
@@ -220,7 +222,9 @@ def extract(pages, id_col="page_id", url_col="url", html_col="html"):
     keyed = rows.select("key", host.alias("host"), path.alias("path"), "html").mapInArrow(
         hashed, "key long, host string, path string, loose array<long>"
     )
-    placed = with_position(keyed.dropDuplicates(["key"]), ["host", "path", "key"], out="pos")
+    # Numbering reads its input several times; pages are parsed once for all of them.
+    keyed = materialise(keyed.dropDuplicates(["key"]), "page-blocks")
+    placed = with_position(keyed, ["host", "path", "key"], out="pos")
     near = placed.select(F.struct("host", "path", "loose").alias("near"), "pos")
     before = near.select((F.col("pos") + 1).alias("pos"), F.col("near").alias("before"))
     after = near.select((F.col("pos") - 1).alias("pos"), F.col("near").alias("after"))
