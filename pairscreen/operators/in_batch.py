@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairscreen.operators.arrow_runs import table
+from pairscreen.operators.arrow_runs import matrix, table
 from pairscreen.operators.knowns import UNKNOWN
 
 MAX_BATCH = 4096
@@ -39,10 +39,6 @@ def known_in_batch(rows, known, batch="batch_id", c1="c1", c2="c2"):
     )
 
 
-def _matrix(col):
-    return np.array(col.to_pylist(), dtype=np.float64)
-
-
 def _similarity(q, k):
     """All dots, each summed left to right: independent of the batch's shape."""
     out = np.zeros((len(q), len(k)))
@@ -76,8 +72,9 @@ def _per_batch(df, known, fold, out_fields, batch, idx, q, k, c1, c2):
         if tab.num_rows > MAX_BATCH:
             raise ValueError(f"a batch has {tab.num_rows} rows, more than {MAX_BATCH}")
         tab = tab.sort_by("idx").combine_chunks()
+        vectors = tab.to_batches()[0]
         at = tab.column("idx").to_numpy()
-        sim = _similarity(_matrix(tab.column("q")), _matrix(tab.column("k")))
+        sim = _similarity(matrix(vectors, "q").astype(np.float64), matrix(vectors, "k").astype(np.float64))
         mask = np.zeros(sim.shape, dtype=bool)
         if codes and pairs:
             mask = _known_cells(tab.column("c1").to_numpy(), tab.column("c2").to_numpy(), pairs)

@@ -9,17 +9,21 @@ def vector_width(df, vec):
 
 
 def _pool(df, by, vec, fold, dim):
+    """One row per (protein, dimension), so the expression is as long for any width;
+    values are combined before the shuffle and a protein's list holds ``dim`` cells."""
     dim = vector_width(df, vec) if dim is None else dim
     by = [by] if isinstance(by, str) else list(by)
-    cells = [fold(F.get(F.col(vec), F.lit(d)).cast("double")) for d in range(dim)]
-    cells = [F.coalesce(c, F.lit(0.0)).alias(f"v{d}") for d, c in enumerate(cells)]
-    pooled = df.groupBy(*by).agg(*cells)
-    return pooled.select(*by, F.array(*[f"v{d}" for d in range(dim)]).alias("pooled"))
+    long = df.select(*by, F.posexplode_outer(F.slice(vec, 1, dim)).alias("__d", "__x"))
+    cells = long.groupBy(*by, "__d").agg(fold(F.col("__x").cast("double")).alias("__x"))
+    cell = F.struct("__d", F.coalesce("__x", F.lit(0.0)).alias("__x"))
+    listed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("__d").isNotNull(), cell))).alias("__v"))
+    # Vectors that are all missing or shorter than ``dim`` are filled up with zeros.
+    rest = F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("__v"))
+    return listed.select(*by, F.concat(F.transform("__v", lambda c: c["__x"]), rest).alias("pooled"))
 
 
 def mean_pool(df, by, vec="vec", dim=None):
-    """Mean over real positions (long form, one row per position).  One
-    aggregate per dimension, so sums are combined before the shuffle.  A
+    """Mean over real positions (long form, one row per position).  A
     protein whose positions are all missing pools to zeros."""
     return _pool(df, by, vec, F.avg, dim)
 
