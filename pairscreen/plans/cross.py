@@ -8,6 +8,7 @@ hosts.
 from pyspark.sql import functions as F
 
 from pairscreen.operators.contacts import contact_scores
+from pairscreen.operators.indexing import with_batch_id
 from pairscreen.operators.resolve import best_host
 from pairscreen.operators.retrieval import topk_union
 from pairscreen.operators.sweep import candidate_counts, pair_inventory, pending_pairs
@@ -16,6 +17,7 @@ from pairscreen.session import materialise
 from pairscreen.sources.results import PAIR, read_pair_status, write_pair_results
 
 THRESHOLD = 0.4
+WAVE_PAIRS = 10_000
 
 
 def cross_candidates(host, viral, top_k=100, pairs=None):
@@ -63,31 +65,42 @@ def cross_screen(host, viral, top_k=100, threshold=THRESHOLD, scorer=None, pairs
     return results, candidates
 
 
-def run_sweep(spark, host, viral, path, top_k=100, threshold=THRESHOLD, scorer=None, hosts=None):
-    """Work on every pair that ``path`` has no status row for, and record it.
-    Safe to run again after an interruption: results of a pair count only once
-    its status row is there.  Returns the number of pairs worked on."""
+def run_sweep(
+    spark, host, viral, path, top_k=100, threshold=THRESHOLD, scorer=None, hosts=None, wave_pairs=WAVE_PAIRS
+):
+    """Work on every pair that ``path`` has no status row for, and record it,
+    in waves of ``wave_pairs`` pairs that are committed one by one: stopped and
+    started again, only the wave in hand is worked on twice.  A wave holds the
+    pairs of neighbouring hosts, and only proteomes with a pending pair in it
+    are searched.  Returns the number of pairs worked on."""
     names = host.select(F.col("proteome_id").alias("host_proteome"))
     if hosts is not None:
         names = names.join(hosts, "host_proteome", "left_semi")
     inventory = pair_inventory(names, viral.select(F.col("proteome_id").alias("viral_proteome")))
-    todo = materialise(pending_pairs(inventory, _done(spark, path)), "pending").select(*PAIR)
+    pending = pending_pairs(inventory, _done(spark, path)).select(*PAIR)
+    todo = materialise(with_batch_id(pending, wave_pairs, PAIR, out="wave"), "pending")
     n = todo.count()
-    if n == 0:
-        return 0
-    busy_hosts = host.join(
-        todo.select(F.col("host_proteome").alias("proteome_id")).distinct(), "proteome_id", "left_semi"
-    )
-    busy_virals = viral.join(
-        todo.select(F.col("viral_proteome").alias("proteome_id")).distinct(), "proteome_id", "left_semi"
-    )
-    results, candidates = cross_screen(busy_hosts, busy_virals, top_k, threshold, scorer, todo)
-    write_pair_results(
-        materialise(results, "results"), todo, path, candidate_counts(candidates, PAIR), fmt="parquet"
-    )
+    for wave in range(-(-n // wave_pairs)):
+        pairs = todo.where(F.col("wave") == wave).select(*PAIR)
+        results, candidates = cross_screen(
+            _busy(host, pairs, "host_proteome"),
+            _busy(viral, pairs, "viral_proteome"),
+            top_k,
+            threshold,
+            scorer,
+            pairs,
+        )
+        write_pair_results(
+            materialise(results, "results"), pairs, path, candidate_counts(candidates, PAIR), fmt="parquet"
+        )
     return n
 
 
+def _busy(proteins, pairs, side):
+    """Proteins of proteomes that have a pair to work on."""
+    return proteins.join(pairs.select(F.col(side).alias("proteome_id")).distinct(), "proteome_id", "left_semi")
+
+
 def _done(spark, path):
     try:
         return read_pair_status(spark, path).select(*PAIR)

@@ -57,6 +57,7 @@ PAIR_STATUS = T.StructType(
         T.StructField("n_candidates", T.LongType()),
         T.StructField("n_results", T.LongType()),
         T.StructField("finished_at", T.TimestampType()),
+        T.StructField("run_id", T.StringType()),
     ]
 )
 

@@ -2,16 +2,21 @@
 
 from pyspark.sql import functions as F
 
+from pairscreen.sources.listing import empty_files
+
 
 def fingerprint(spark, path, glob=None):
-    """SHA-256 of every file, as ``(name, size, sha256)``."""
+    """SHA-256 of every file, as ``(name, size, sha256)``.  A file is one value:
+    2 GB at most."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
+    # The scan leaves out empty files.
+    files = reader.load(path).select("path", F.col("length").alias("size"), "content").unionByName(
+        empty_files(spark, path, glob or "*").withColumn("content", F.to_binary(F.lit(""), F.lit("utf-8")))
+    )
+    return files.select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size", F.sha2("content", 256).alias("sha256")
     )
 
 

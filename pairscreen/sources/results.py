@@ -1,9 +1,12 @@
 """Result tables: predictions, per-pair results with their status, metrics."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairscreen.functions import basename
 from pairscreen.schemas import CROSS_RESULTS, METRICS, PAIR_STATUS
+from pairscreen.sources.listing import list_files
 
 PAIR = ["host_proteome", "viral_proteome"]
 
@@ -19,17 +22,18 @@ def write_predictions(df, path, fmt="csv", score="contact_score", mode="overwrit
 
 
 def write_pair_results(results, pairs, path, candidates=None, fmt="csv"):
-    """Results below ``path/results``, one folder per pair, and one row per
-    pair below ``path/status``: a pair without results has no folder but is
-    done all the same.  ``pairs`` are the pairs that were worked on.  Status is
-    written last and results replace those of the same pair, so an interrupted
-    run leaves nothing that a repeated one would double."""
+    """Results of one run below ``path/results``, one folder per run and pair,
+    then one status row per pair below ``path/status`` that names the run.
+    ``pairs`` are the pairs that were worked on; one without results has no
+    folder but is done all the same.  Readers go by a pair's newest status row,
+    so rows of an interrupted or replaced run never show."""
+    run = uuid.uuid4().hex
     (
-        results.orderBy(*PAIR, F.desc("contact_score"), "viral_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        results.withColumn("run_id", F.lit(run))
+        .orderBy(*PAIR, F.desc("contact_score"), "viral_id")
+        .write.mode("append")
         .option("header", True)
-        .partitionBy(*PAIR)
+        .partitionBy("run_id", *PAIR)
         .format(fmt)
         .save(f"{path}/results")
     )
@@ -44,16 +48,27 @@ def write_pair_results(results, pairs, path, candidates=None, fmt="csv"):
         F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"),
         F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"),
         F.current_timestamp().alias("finished_at"),
+        F.lit(run).alias("run_id"),
     ).write.mode("append").parquet(f"{path}/status")
 
 
 def read_pair_status(spark, path):
-    return spark.read.schema(PAIR_STATUS).parquet(f"{path}/status")
+    """The newest status row of each pair."""
+    rest = ["finished_at", "run_id", "n_candidates", "n_results"]
+    rows = spark.read.schema(PAIR_STATUS).parquet(f"{path}/status")
+    newest = rows.groupBy(*PAIR).agg(F.max(F.struct(*rest)).alias("newest"))
+    return newest.select(*PAIR, *[F.col(f"newest.{c}").alias(c) for c in rest]).select(*PAIR_STATUS.fieldNames())
 
 
 def read_partitioned_results(spark, path, fmt="csv"):
-    schema = "viral_id string, host_id string, contact_score double, host_is_best_contact boolean, host_proteome string, viral_proteome string"
-    return spark.read.schema(schema).option("header", True).format(fmt).load(f"{path}/results")
+    """Results of every finished pair, of the run that its status names."""
+    schema = (
+        "viral_id string, host_id string, contact_score double, host_is_best_contact boolean, "
+        "run_id string, host_proteome string, viral_proteome string"
+    )
+    rows = spark.read.schema(schema).option("header", True).format(fmt).load(f"{path}/results")
+    finished = read_pair_status(spark, path).select("run_id", *PAIR)
+    return rows.join(finished, ["run_id", *PAIR], "left_semi").drop("run_id")
 
 
 def from_file_name(df, path_col="_metadata.file_name"):
@@ -80,14 +95,8 @@ def read_pair_results(spark, folder):
 
 def finished_pairs(spark, folder):
     """Pairs that have a file, empty or not, by name only."""
-    names = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select(basename("path").alias("name"))
-    )
     parts = F.split("name", "__", 2)
-    return names.select(
+    return list_files(spark, folder, "*.csv").select(basename("path").alias("name")).select(
         F.element_at(parts, 1).alias("host_proteome"), F.element_at(parts, -1).alias("viral_proteome")
     ).distinct()
 

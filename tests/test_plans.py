@@ -87,6 +87,27 @@ def test_sweep_resumes(spark, encoded, tmp_path):
     assert status.where("n_candidates = 0").count() == 0
 
 
+def test_stopped_sweep_keeps_its_finished_waves(spark, encoded, tmp_path, monkeypatch):
+    host, viral = encoded.where("proteome_id like 'h%'"), encoded.where("proteome_id like 'v%'")
+    path, whole, write = str(tmp_path / "waves"), str(tmp_path / "whole"), cross.write_pair_results
+    calls = []
+
+    def failing(*args, **kwargs):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        return write(*args, **kwargs)
+
+    monkeypatch.setattr(cross, "write_pair_results", failing)
+    with pytest.raises(RuntimeError):
+        cross.run_sweep(spark, host, viral, path, 4, 0.3, wave_pairs=1)
+    assert read_pair_status(spark, path).count() == 1
+    assert cross.run_sweep(spark, host, viral, path, 4, 0.3, wave_pairs=2) == 3
+    assert cross.run_sweep(spark, host, viral, whole, 4, 0.3) == 4
+    a, b = (read_partitioned_results(spark, p, "parquet") for p in (path, whole))
+    assert tuples(a) == tuples(b)
+
+
 def test_empty_results_count_as_done(spark, encoded, tmp_path):
     host, viral = encoded.where("proteome_id = 'h1'"), encoded.where("proteome_id = 'v1'")
     path = str(tmp_path / "none")

@@ -40,14 +40,27 @@ def test_fasta(spark, folder):
     ]
 
 
-def test_large_fasta_has_the_same_records(spark, folder):
-    got = fasta.read_large_fasta(spark, f"{folder}/b.faa").collect()
-    assert sorted((r.protein_id, r.sequence) for r in got) == [("p1", "ACDEF"), ("p1", "KL"), ("p2", "GHI")]
+def test_fasta_in_many_splits_keeps_order(spark, folder, tmp_path):
+    big = tmp_path / "big"
+    big.mkdir()
+    text = "; no record\n" + "".join(f">p{i} x\n{'ACDE' * (i % 9)}\n" for i in range(200)) + ">\n>\n"
+    (big / "with space.faa").write_text(text)
+    (big / "z.faa").write_text(">a\nAC")
+    want = [("with space", i, f"p{i}", "ACDE" * (i % 9), 4 * (i % 9)) for i in range(200)]
+    want += [("with space", i, "", "", 0) for i in (200, 201)] + [("z", 0, "a", "AC", 2)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        df = fasta.read_fasta(spark, str(big))
+        assert records(df) == want
+        assert len(spark.read.text(str(big)).inputFiles()) == 2 and spark.read.text(str(big)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_inventory_is_sorted(spark, folder):
     got = fasta.scan_proteomes(spark, folder).collect()
-    assert [r.proteome_id for r in got] == ["a", "b", "lead"]  # the empty file has no proteins
+    assert [r.proteome_id for r in got] == ["a", "b", "empty", "lead"]
     assert got[0]["size"] == len(FILES["a.faa"])
 
 
@@ -131,20 +144,25 @@ def test_pair_results_and_status(spark, tmp_path):
     for _ in range(2):  # a repeated write replaces the pair's rows
         results.write_pair_results(found, pairs, path)
     assert results.read_partitioned_results(spark, path).count() == 2
-    status = results.read_pair_status(spark, path).dropDuplicates(["host_proteome", "viral_proteome"]).collect()
-    assert {(r.viral_proteome, r.n_results) for r in status} == {("v1", 2), ("v2", 0)}
+    status = results.read_pair_status(spark, path).collect()
+    assert sorted((r.viral_proteome, r.n_results) for r in status) == [("v1", 2), ("v2", 0)]
     assert sweep.pending_pairs(pairs, results.read_pair_status(spark, path)).count() == 0
+    # A pair that has no rows any more keeps none of the old ones.
+    results.write_pair_results(found.limit(0), pairs.where("viral_proteome = 'v1'"), path)
+    assert results.read_partitioned_results(spark, path).count() == 0
+    assert sorted(r.n_results for r in results.read_pair_status(spark, path).collect()) == [0, 0]
 
 
 def test_finished_pair_files(spark, tmp_path):
     head = "viral_id,host_id,contact_score,host_is_best_contact\n"
     (tmp_path / "h1__v1.csv").write_text(head + "a,b,0.5,True\n")
     (tmp_path / "h1__v__2.csv").write_text(head)
+    (tmp_path / "h2__v1.csv").write_text("")
     (tmp_path / "h1.log").write_text("nothing to see")
     got = results.read_pair_results(spark, str(tmp_path)).collect()
     assert [(r.host_proteome, r.viral_proteome, r.viral_id, r.contact_score, r.host_is_best_contact) for r in got] == [("h1", "v1", "a", 0.5, True)]
     done = {tuple(r) for r in results.finished_pairs(spark, str(tmp_path)).collect()}
-    assert done == {("h1", "v1"), ("h1", "v__2")}
+    assert done == {("h1", "v1"), ("h1", "v__2"), ("h2", "v1")}
 
 
 def test_metrics_sink(spark, tmp_path):
@@ -156,6 +174,7 @@ def test_metrics_sink(spark, tmp_path):
 
 def test_fingerprint(spark, folder):
     got = fingerprint.fingerprint(spark, folder, "*.faa")
+    assert got.where("name = 'empty.faa'").first().sha256 == hashlib.sha256(b"").hexdigest()
     assert {r.name: r.sha256 for r in got.collect()}["a.faa"] == hashlib.sha256(FILES["a.faa"].encode()).hexdigest()
     assert fingerprint.require_same(got, got) is got
     with open(os.path.join(folder, "a.faa"), "a") as f:
