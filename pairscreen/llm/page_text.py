@@ -39,16 +39,31 @@ NOT_TEXT = frozenset(
     "modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments "
     "comment-list discussion disqus replies share sharing social related newsletter subscribe".split()
 )
+#: The same inside an article, as with elements.
+NOT_TEXT_INSIDE = NOT_TEXT - {"header"}
+#: Elements that hold the page or the article, whatever their names say of it.
+WHOLE = ARTICLE | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\s ]+")
 
 
-def _says_no(attributes):
+def _says_no(name, attributes, article):
+    """Whether a class, id or role says that an element is none of the text.  Inside
+    an article only whole names do: parts of them, such as post-header, and ids of
+    headings speak of what the article is about."""
+    if name in WHOLE:
+        return False
     for m in _MARKS.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if any(w in NOT_TEXT or not NOT_TEXT.isdisjoint(re.split(r"[-_]", w)) for w in value.split()):
+        found = (m[2] or m[3] or m[4] or "").lower().split()
+        if article:
+            if m[1].lower() == "id" and name in HEADINGS:
+                continue
+            if not NOT_TEXT_INSIDE.isdisjoint(found):
+                return True
+        elif any(w in NOT_TEXT or not NOT_TEXT.isdisjoint(re.split(r"[-_]", w)) for w in found):
             return True
     return False
 
@@ -111,7 +126,7 @@ def blocks(page):
                     break
                 if open_[depth][0] in BLOCKS and open_[depth][0] != "p":
                     break
-        no = name in (DROPPED_INSIDE if article else DROPPED) or _says_no(m[3])
+        no = name in (DROPPED_INSIDE if article else DROPPED) or _says_no(name, m[3], article)
         open_.append((name, no, name in ARTICLE))
         dropped += no
         article += name in ARTICLE
