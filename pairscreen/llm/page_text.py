@@ -5,6 +5,7 @@ before or after it that its path is most like.  The text blocks of the two are
 aligned by a longest common subsequence, and what is aligned is deleted.
 Markup says what is never text (scripts, menus, forms, comments ...), and blocks
 inside an article are not deleted: paragraphs that two articles share are theirs.
+Pages without an article that copy each other, or nearly, say nothing of the template.
 """
 
 import html
@@ -45,6 +46,10 @@ NOT_TEXT_INSIDE = NOT_TEXT - {"header"}
 WHOLE = ARTICLE | {"html", "body"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: A page without article that has this part of its characters, or more, in common with
+#: a neighbour is a copy of it, and what they share no template.
+COPY = 0.9
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\s ]+")
@@ -192,8 +197,9 @@ def common(a, b, room=1 << 26):
 
 
 def _loose(parsed):
-    """Hashes of the blocks outside articles."""
-    return [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t, inside in parsed if not inside]
+    """Hashes and lengths of the blocks outside articles."""
+    texts = [t for t, inside in parsed if not inside]
+    return [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts], [len(t) for t in texts]
 
 
 def _same_start(a, b):
@@ -215,6 +221,10 @@ def extract(pages, id_col="page_id", url_col="url", html_col="html"):
     written and travel between neighbours.  A page is parsed twice, for its hashes and
     for its text, as written blocks would take as much disk as the pages.  A page alone on its host has nothing to be compared with.
 
+    Pages of a host that have the same blocks and no article are numbered once and
+    share their result; a neighbour that such a page has ``COPY`` of its characters in
+    common with shows no template, so the other one is taken, or none.
+
     A null or empty page has an empty text.  Null urls are pages of one host without
     name.  Pages with the same id, url and text are one in the numbering and each
     come back; an empty table gives no rows; other columns are ignored.
@@ -228,18 +238,32 @@ def extract(pages, id_col="page_id", url_col="url", html_col="html"):
 
     def hashed(batches):
         for batch in batches:
-            found = [_loose(blocks(t)) for t in batch.column("html").to_pylist()]
+            found, sizes, article, copy = [], [], [], []
+            for key, host, t in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html"))):
+                parsed = blocks(t)
+                loose, size = _loose(parsed)
+                found.append(loose)
+                sizes.append(size)
+                article.append(len(loose) < len(parsed))
+                same = np.array(loose, np.int64).tobytes() + host.encode()
+                copy.append(key if article[-1] else xxhash.xxh64_intdigest(same) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "host", "path")), pa.array(found, pa.list_(pa.int64()))],
-                names=["key", "host", "path", "loose"],
+                [
+                    *(batch.column(c) for c in ("key", "host", "path")),
+                    pa.array(found, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.list_(pa.int32())),
+                    pa.array(article, pa.bool_()),
+                    pa.array(copy, pa.int64()),
+                ],
+                names=["key", "host", "path", "loose", "sizes", "article", "copy"],
             )
 
-    keyed = rows.select("key", host.alias("host"), path.alias("path"), "html").mapInArrow(
-        hashed, "key long, host string, path string, loose array<long>"
-    )
+    kinds = "key long, host string, path string, loose array<long>, sizes array<int>, article boolean, copy long"
+    keyed = rows.select("key", host.alias("host"), path.alias("path"), "html").mapInArrow(hashed, kinds)
     # Numbering reads its input several times; pages are parsed once for all of them.
-    keyed = materialise(keyed.dropDuplicates(["key"]), "page-blocks")
-    placed = with_position(keyed, ["host", "path", "key"], out="pos")
+    keyed = materialise(keyed, "page-blocks")
+    one = F.min(F.struct("host", "path", "key", "loose", "sizes", "article")).alias("one")
+    placed = with_position(materialise(keyed.groupBy("copy").agg(one).select("copy", "one.*"), "page-copies"), ["host", "path", "key"], out="pos")
     near = placed.select(F.struct("host", "path", "loose").alias("near"), "pos")
     before = near.select((F.col("pos") + 1).alias("pos"), F.col("near").alias("before"))
     after = near.select((F.col("pos") - 1).alias("pos"), F.col("near").alias("after"))
@@ -251,12 +275,18 @@ def extract(pages, id_col="page_id", url_col="url", html_col="html"):
             gone = []
             for row in batch.to_pylist():
                 others = [x for x in (row["before"], row["after"]) if x and x["host"] == row["host"]]
-                other = max(others, key=lambda x: _same_start(x["path"], row["path"]), default=None)
-                gone.append(common(row["loose"], other["loose"]) if other and row["loose"] else [])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
-
-    template = paired.select("key", "host", "path", "loose", "before", "after").mapInArrow(shared, "key long, gone array<int>")
-    template = template.where(F.size("gone") > 0)
+                others.sort(key=lambda x: -_same_start(x["path"], row["path"]))
+                gone.append([])
+                for other in others if row["loose"] else ():
+                    found = common(row["loose"], other["loose"])
+                    if row["article"] or sum(row["sizes"][i] for i in found) < COPY * sum(row["sizes"]):
+                        gone[-1] = found
+                        break
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(gone, pa.list_(pa.int32()))], names=["copy", "gone"])
+
+    columns = ["copy", "host", "path", "loose", "sizes", "article", "before", "after"]
+    template = paired.select(*columns).mapInArrow(shared, "copy long, gone array<int>").where(F.size("gone") > 0)
+    template = keyed.select("key", "copy").distinct().join(template, "copy").select("key", "gone")
 
     def text(batches):
         for batch in batches:
