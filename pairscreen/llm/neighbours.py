@@ -233,7 +233,9 @@ def nearest(vectors, is_query, k=5, id_col="vec_id", vec_col="embedding", tables
     owners = materialise(owners, "queries")
     probing = points.join(owners.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
 
-    take = k + 1  # one of them may be the query itself
+    # Some may be of the query's own id: as many as it has vectors.
+    own = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    take = k + (own or 1)
     index = points.select("rep", "low", "vec").mapInArrow(_hashed(tables, 1, seed, 1), _POINTS)
     probes_of = probing.select("rep", "low", "vec").mapInArrow(_hashed(tables, probes, seed, 0), _POINTS)
     near = _tiles(index, probes_of, take).dropDuplicates(["query", "rep"])
