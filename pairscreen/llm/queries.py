@@ -5,8 +5,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from pairscreen.llm import (
+    bottom_k,
     chat,
     decontaminate,
+    divergence,
     languages,
     neighbours,
     packing,
@@ -15,6 +17,7 @@ from pairscreen.llm import (
     simhash,
     substrings,
     tokens,
+    whitening,
 )
 from pairscreen.sources.tables import load
 
@@ -89,6 +92,18 @@ def op10_page_text(spark, d):
     return page_text.extract(load(spark, d, "pages"))
 
 
+def op11_minhash_near_dedup(spark, d):
+    return bottom_k.near_duplicates(load(spark, d, "documents"))
+
+
+def op12_embedding_whitening(spark, d):
+    return whitening.whiten(load(spark, d, "embeddings"))
+
+
+def op13_source_divergence(spark, d):
+    return divergence.divergences(load(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,6 +117,9 @@ QUERIES = {
         op8_secret_scan,
         op9_decontamination,
         op10_page_text,
+        op11_minhash_near_dedup,
+        op12_embedding_whitening,
+        op13_source_divergence,
     )
 }
 
@@ -168,4 +186,50 @@ items AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items,
        sha256(coalesce(t, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op11_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT p.a, p.b FROM (
+    SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS k FROM s JOIN s t ON s.sh = t.sh AND s.doc_id <> t.doc_id GROUP BY 1, 2) p
+  JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(c.low, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id""",
+    "op13_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+w AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 5) // (coalesce(n.n, 0) + 5 * v.v))::BIGINT AS p,
+    (1 + 1000000000::HUGEINT * (k.all_n + 5) // (v.n + 5 * v.v))::BIGINT AS q
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang)
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 50""",
 }
