@@ -100,7 +100,7 @@ def share(times, total, terms):
     largest = max(int(np.max(above, initial=0)), int(np.max(below, initial=0)))
     if largest < (1 << 63) // ONE:
         return 1 + ONE * above // below
-    return 1 + (ONE * above.astype(object) // np.asarray(below, object)).astype(np.int64)
+    return 1 + (ONE * above.astype(object) // np.asarray(below).astype(object)).astype(np.int64)
 
 
 class _Shard:
