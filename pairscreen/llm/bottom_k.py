@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pairscreen.llm.components import components
-from pairscreen.llm.shared import bytes_of, numbered
+from pairscreen.llm.shared import bytes_of, keyed, numbered, semi
 from pairscreen.llm.word_table import WordTable, scramble
 from pairscreen.operators.arrow_runs import runs
 from pairscreen.session import materialise
@@ -30,11 +30,9 @@ NARROW, WIDE = 64, 256
 #: Chance that a pair at the least similarity shares fewer retained values than asked.
 MISS = 1e-9
 #: Values of whole sets on each side of a tile.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: A cell of more blocks is cut into the inverted lists that it consists of.
-CELL_BLOCKS = 16
-#: Keys that are broadcast: 16 bytes each, so 32 MB; more are joined by a shuffle.
-BROADCAST_KEYS = 2 << 20
+CELL_BLOCKS = 32
 
 
 def shingle_sets(column, words):
@@ -274,18 +272,6 @@ def whole_sets(docs, chosen, words, text_col="text"):
     return materialise(made.dropDuplicates(["node"]), "shingle-sets")
 
 
-def semi(rows, keys, how="left_semi"):
-    """``rows`` whose keys are among ``keys`` (or not: ``left_anti``).  Keys are counted:
-    up to 32 MB are broadcast, so that texts stay where they are; more are shuffled."""
-    keys = materialise(keys.select("k1", "k2").distinct(), "keys")
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["k1", "k2"], how)
-
-
-def keyed(docs, id_col, text_col):
-    """``docs`` with the keys of its rows: those equal in id and text share them."""
-    return docs.select("*", F.xxhash64(id_col, text_col).alias("k1"), F.hash(id_col, text_col).alias("k2"))
-
-
 def roots(marked, rows, words, share, extra=None):
     """``(node, root)`` of the nodes that pairs as similar as ``share`` connect.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairscreen.llm.shared import numbered
 from pairscreen.operators.arrow_runs import runs
-from pairscreen.session import materialise, parallelism
+from pairscreen.session import materialise
 
 #: What separates terms: all ASCII but letters (fixed by the contract).
 _GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -228,7 +228,7 @@ def divergences(docs, text_col="text", lang_col="lang", source_col="source", lea
     without any, still has its pairs (0 if the language keeps none).  Repeated rows are
     documents of their own; an empty table gives no rows; other columns are ignored.
     """
-    shards = parallelism(docs.sparkSession)
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = materialise(term_counts(docs, text_col, lang_col, source_col), "term-counts")
     by_lang = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("lang_times"))
     kept = by_lang.where(F.col("docs") >= least_docs).select("lang", "term", "lang_times")

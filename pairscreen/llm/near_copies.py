@@ -1,172 +1,46 @@
 """Groups of documents whose sets of five-word shingles have a Jaccard index of 0.8
-or more: min-hash bands propose pairs, the sets themselves decide."""
+or more: SimHash links and rare shared shingles propose, the sets themselves decide."""
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import functions as F
 
-from pairscreen.llm.components import components
-from pairscreen.llm.shared import numbered
-from pairscreen.llm.simhash import _LOWER
+from pairscreen.llm import bottom_k, simhash
+from pairscreen.llm.shared import keep_first, keyed
 from pairscreen.session import materialise
 
-#: Bands of min-hashes.  A pair of Jaccard index s shares none of them with a
-#: chance of (1 - s ** WIDTH) ** BANDS: 7e-10 at 0.8, less above.
-BANDS, WIDTH = 40, 4
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-
-def shingles(text, size=5):
-    """Sorted distinct hashes of the runs of ``size`` words; a text of fewer words is
-    one shingle.  A-Z count as a-z."""
-    words = text.encode().translate(_LOWER).split()
-    joined = b" ".join(words)
-    n = len(words)
-    if n <= size:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = np.concatenate([[0], ends[: n - size]]).tolist()
-    stops = (ends[size - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, stops)], np.uint64))
-
-
-def bands(hashes):
-    """One key per band of min-hashes of a set."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, np.multiply.outer(hashes[at : at + 1024], _FACTORS).min(axis=0))
-    rows = least.reshape(BANDS, WIDTH)
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(rows)]
-
-
-def _similar(a, b, share):
-    """Whether two sets have a Jaccard index of ``share`` (two whole numbers) or more."""
-    if share[1] * min(len(a), len(b)) < share[0] * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return share[1] * both >= share[0] * (len(a) + len(b) - both)
-
-
-def _marked(rows, size):
-    """``rows`` with ``node``, which stands for the set, and its ``bands`` in place
-    of the text.  No shuffle."""
-    kept = [c for c in rows.columns if c != "text"]
-
-    def run(batches):
-        for batch in batches:
-            nodes, found = [], []
-            for t in batch.column("text").to_pylist():
-                h = shingles(t or "", size)
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
-                found.append(bands(h))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                names=[*kept, "node", "bands"],
-            )
-
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, numbered([(c, kinds[c]) for c in kept] + [("node", "long"), ("bands", "array<long>")]))
-
-
-def _verified(pairs, texts, size, share):
-    """The pairs (a, b) that are as similar as ``share`` by their whole sets."""
-
-    def run(batches):
-        press = zstandard.ZstdDecompressor()
-        held = (None, None)
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, (x, left, right) in enumerate(zip(a, batch.column("left"), batch.column("right"))):
-                if held[0] != x:
-                    held = (x, shingles(press.decompress(left.as_py()).decode(), size))
-                if _similar(held[1], shingles(press.decompress(right.as_py()).decode(), size), share):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
-
-    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("right"))
-    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "similar")
-
-
-def _packed(rows):
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "packed"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, packed binary")
-
-
-def _linked(nodes, texts_of, size, share):
-    """``(node, root)`` of the nodes (with their ``bands``) that similar pairs connect.
-
-    Of each bucket (nodes with one band in common) first the least node is compared
-    with the others; what that connects need not be compared again.  Then all pairs
-    of a bucket that are still in different groups are compared, so a pair that
-    shares a band is either in one group or was looked at.
-    """
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    least = rows.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(rows.join(least.select("key", "rep"), "key"), "band-buckets")
-    texts = materialise(_packed(texts_of(met.select("node").distinct())), "band-texts")
-    stars = met.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    edges = _verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size, share)
-
-    def grouped():
-        return materialise(components(edges), "band-groups")
-
-    def apart(pairs, roots):
-        for side in ("a", "b"):
-            own = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-            pairs = pairs.join(own, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-        return pairs.where("a_root != b_root").select("a", "b")
-
-    edges = edges.union(_verified(apart(stars.distinct(), grouped()), texts, size, share))
-    roots = grouped()
-    members = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    members = members.join(mixed.select("key"), "key", "left_semi")
-    other = members.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    rest = members.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")).join(other, "key")
-    rest = materialise(rest.where("a_root != b_root AND a < b").select("a", "b").distinct(), "band-rest")
-    if rest.isEmpty():
-        return roots
-    edges = edges.union(_verified(rest, texts, size, share))
-    return grouped()
+def _simhash_links(rows, marked, size):
+    """Edges between the nodes whose fingerprints of ``size`` words link, n - 1 for n
+    that are connected by them."""
+    fps = simhash.fingerprints(rows.select("k1", "k2", "text"), "text", size)
+    met = marked.where("node IS NOT NULL").select("k1", "k2", "node").join(fps, ["k1", "k2"])
+    met = materialise(met.select("fp", "node").distinct(), "fingerprints")
+    least = met.groupBy("fp").agg(F.min("node").alias("low"))
+    same = met.join(least, "fp").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(met.select("fp").distinct())
+    for side in ("a", "b"):
+        own = least.select(F.col("fp").alias(side), F.col("low").alias(f"node_{side}"))
+        near = near.join(own, side)
+    near = near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return materialise(same.union(near).where("a != b").distinct(), "simhash-links")
 
 
 def keep_one(docs, id_col="doc_id", text_col="text", size=5, share=(4, 5)):
     """``docs`` with one row of each group that pairs of a Jaccard index of at least
     ``share`` (two whole numbers) connect: that of the smallest id (none is the
     largest), and of several with this id one of them.  All columns are kept as they
-    are.
+    are, whatever their names.
 
     A-Z count as a-z, words are runs of characters other than white space, and a
     text of fewer words than ``size`` is one shingle.  Texts of equal sets, such as
     copies, are one node and never compared.  Blank and null texts are copies of each
-    other.  Every pair that is called similar is; a similar pair is missed if it
-    shares no band, with a chance of 7e-10 at most.
+    other.  Fingerprints of ``size`` words that differ in at most 3 bits link most near
+    copies but not all, so whoever may reach ``share`` by the inverted lists of
+    ``bottom_k`` is proposed as well.  Every link is tested on whole sets; see
+    ``bottom_k.near_duplicates`` for what may be missed.
     """
-    key = [F.xxhash64(id_col, text_col).alias("__key"), F.hash(id_col, text_col).alias("__key2")]
-    first = F.struct(F.col("id").isNull(), "id", "__key", "__key2")
-    rows = docs.select(*key, docs[id_col].alias("id"), docs[text_col].alias("text"))
-    marked = materialise(_marked(rows, size), "shingle-sets")
-    one = F.min(F.struct(first.alias("first"), "bands")).alias("one")
-    nodes = marked.groupBy("node").agg(one).select("node", "one.first", "one.bands")
-    nodes = materialise(nodes, "shingle-nodes")
-
-    def texts_of(wanted):
-        chosen = nodes.join(wanted, "node", "left_semi").select("node", "first.__key", "first.__key2")
-        texts = docs.select(*key, docs[text_col].alias("text"))
-        return texts.join(chosen, ["__key", "__key2"]).dropDuplicates(["node"])
-
-    roots = _linked(nodes.select("node", "bands"), texts_of, size, share)
-    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__key", "first.__key2")
-    keyed = docs.withColumns({"__key": key[0], "__key2": key[1]})
-    return keyed.join(winners, ["__key", "__key2"]).dropDuplicates(["__key", "__key2"]).select(*docs.columns)
+    rows = keyed(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), "id", "text")
+    marked = materialise(bottom_k.sketches(rows, size), "sketches")
+    found = bottom_k.roots(marked, rows, size, share, _simhash_links(rows, marked, size))
+    rooted = marked.select("id", "k1", "k2", "node").join(found, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node", F.lit(0).cast("long")))
+    return keep_first(docs, rooted, id_col, text_col)

@@ -4,6 +4,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pairscreen.session import materialise
+
+#: Keys that are broadcast: 12 bytes each; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 20
+
 
 def numbered(columns):
     """Output schema as the DDL string that ``mapInArrow`` takes."""
@@ -51,3 +56,35 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(
         F.translate(col, upper, upper.lower())
     )
+
+
+def keyed(docs, id_col, text_col):
+    """``docs`` with the keys of its rows: those equal in id and text share them."""
+    return docs.select("*", F.xxhash64(id_col, text_col).alias("k1"), F.hash(id_col, text_col).alias("k2"))
+
+
+def semi(rows, keys, how="left_semi"):
+    """``rows`` whose keys are among ``keys`` (or not: ``left_anti``).  Keys are counted:
+    up to ``BROADCAST_KEYS`` are broadcast, so that texts stay where they are; more are
+    shuffled."""
+    keys = materialise(keys.select("k1", "k2").distinct(), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["k1", "k2"], how)
+
+
+def keep_first(docs, rooted, id_col, text_col):
+    """``docs`` with one row of each group: that of the smallest id (none is the largest),
+    and of several with this id one of them.  ``rooted`` has the ``id``, the keys and
+    the group's ``root`` of each row.  All columns are kept, whatever their names, and
+    only rows that come back more than once are shuffled."""
+    first = F.struct(F.col("id").isNull(), "id", "k1", "k2")
+    winners = rooted.groupBy("root").agg(F.min(first).alias("first")).select("first.k1", "first.k2")
+    winners = materialise(winners, "winners")
+    counted = rooted.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    key = (docs[f"`{id_col}`"], docs[f"`{text_col}`"])
+    rows = docs.select(whole, F.xxhash64(*key).alias("k1"), F.hash(*key).alias("k2"))
+    rows = semi(rows, counted.join(winners, ["k1", "k2"], "left_anti"), "left_anti")
+    again = materialise(counted.where("n > 1").join(winners, ["k1", "k2"], "left_semi"), "again")
+    if not again.isEmpty():
+        rows = semi(rows, again, "left_anti").unionByName(semi(rows, again).dropDuplicates(["k1", "k2"]))
+    return rows.select("row.*")

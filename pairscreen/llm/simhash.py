@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pairscreen.llm.components import components
-from pairscreen.llm.shared import numbered
+from pairscreen.llm.shared import keep_first, keyed, numbered
 from pairscreen.session import materialise
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -251,11 +251,6 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", shingle=3, near=3, b
 def keep_one(docs, id_col="doc_id", text_col="text", shingle=3, near=3, bucket=BUCKET):
     """``docs`` with one row of each near-duplicate group: that of the smallest id
     (none is the largest), and of several with this id one of them.  All columns are
-    kept as they are."""
-    key = [F.xxhash64(id_col, text_col).alias("__key"), F.hash(id_col, text_col).alias("__key2")]
-    rows = docs.select(*key, docs[id_col].alias("id"), docs[text_col].alias("text"))
-    first = F.struct(F.col("id").isNull(), "id", "__key", "__key2")
-    winners = _grouped(rows, shingle, near, bucket).groupBy("root").agg(F.min(first).alias("first"))
-    winners = winners.select("first.__key", "first.__key2")
-    keyed = docs.withColumns({"__key": key[0], "__key2": key[1]})
-    return keyed.join(winners, ["__key", "__key2"]).dropDuplicates(["__key", "__key2"]).select(*docs.columns)
+    kept as they are, whatever their names."""
+    rows = keyed(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), "id", "text")
+    return keep_first(docs, _grouped(rows, shingle, near, bucket), id_col, text_col)

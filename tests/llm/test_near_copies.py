@@ -1,43 +1,31 @@
 """The pipeline's near-duplicate stage against brute-force Jaccard."""
 
 import random
-from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pairscreen.llm import bottom_k, near_copies, simhash
+from test_bottom_k import edited, plain_groups
 
 
 def kept_by_jaccard(rows):
-    sets, where = {}, defaultdict(list)
-    for i, text in sorted(rows):
-        words = (text or "").encode().lower().split()
-        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
-        for s in sets[i]:
-            where[s].append(i)
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in {(a, b) for met in where.values() for n, a in enumerate(met) for b in met[n + 1 :]}:
-        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-    return sorted({find(i) for i in sets})
+    """Ids that stay; blank texts are copies of each other."""
+    blank = [i for i, t in rows if not (t or "").split()]
+    groups = plain_groups([r for r in rows if r[0] not in blank], size=5)
+    return sorted([i for i, (_, _, kept) in groups.items() if kept] + blank[:1])
 
 
 def near_dedup(spark, docs):
     return sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, None).select("doc_id").collect())
 
 
-def test_given_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_given_documents(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
     kept = near_dedup(spark, docs)
-    assert kept == kept_by_jaccard([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert not {56, 255, 770} & set(kept)
+    assert kept == kept_by_jaccard(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
 
 
 def test_made_up_groups(spark):
@@ -52,6 +40,53 @@ def test_made_up_groups(spark):
         rows.append((i, " ".join(words)))
     rows += [(200 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(30)])) for i in range(30)]
     rows += [(300 + i, rows[5][1].upper()) for i in range(4)]
-    rows += [(400, "one two"), (401, "one  TWO"), (402, "two one"), (403, "")]
+    rows += [(400, "one two"), (401, "one  TWO"), (402, "two one"), (403, ""), (404, None), (405, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit(1))
-    assert near_dedup(spark, docs) == kept_by_jaccard([(i, t.lower()) for i, t in rows])
+    assert near_dedup(spark, docs) == kept_by_jaccard(rows)
+
+
+@pytest.mark.parametrize("keep", [near_copies.keep_one, simhash.keep_one])
+def test_awkward_rows(spark, keep):
+    """Nulls, repeated rows, a very long text, an empty table, columns called as the
+    operators call theirs."""
+    long = " ".join(f"word{i % 30_011}" for i in range(120_000))
+    rows = [
+        (None, "a b c d e f", "x", 1, 1, 2.0),
+        (3, "a b c d e f", "y", None, 1, 2.0),
+        (3, "a b c d e f", "y", None, 1, 2.0),
+        (4, None, None, 1, 1, 2.0),
+        (5, "", "x", 1, None, 2.0),
+        (6, long, "x", 1, 1, None),
+        (7, long, "z", 1, 1, 2.0),
+        (None, "another text without an id", "x", 1, 1, 2.0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, node long, row int, `a.b` double")
+    got = keep(docs)
+    assert got.columns == docs.columns
+    want = [rows[1], rows[3], rows[5], rows[7]]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert keep(docs.limit(0)).count() == 0
+
+
+def test_joins_stay_in_proportion_to_the_input(spark):
+    """Near copies of one text with a passage that as many others have: the rows that
+    meet in a tile are a few for each document, and no pairs are written."""
+    rng = random.Random(4)
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + edited(rng, base, rng.randrange(0, 3), f"e{i}_"))) for i in range(2500)]
+    rows += [(5000 + i, " ".join(passage + [f"o{i}_{j}" for j in range(60)])) for i in range(2500)]
+    seen = []
+    tiles = bottom_k._tiles
+
+    def counted(groups, sets):
+        found = tiles(groups, sets)
+        seen.append(found.count())
+        return found
+
+    bottom_k._tiles = counted
+    try:
+        kept = near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        bottom_k._tiles = tiles
+    assert kept == [0] + [5000 + i for i in range(2500)]  # at most 2 edits: all link to the text itself
+    assert seen[0] <= 4 * 2500
