@@ -26,6 +26,27 @@ _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: A longer text is encoded in pieces of about so many characters.
 PIECE_CHARS = 1 << 20
 
+#: A run of so much white space is found by rule: the pattern would look ahead from
+#: each of its characters, and matching engines run out of stack.
+RUN_CHARS = 1 << 16
+#: Characters that the pattern takes as white space (fixed values).
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN_CHARS)
+
+
+def long_runs(text, special=()):
+    """Parts of a text, and whether each is a long run of white space.  To the pattern
+    such a run is one part, but for its last character if a word follows: that one
+    goes with what follows.  A special token ends a run as the end of the text does."""
+    at = 0
+    for found in _RUN.finditer(text) if len(text) >= RUN_CHARS else ():
+        start, stop = found.span()
+        if stop < len(text) and not text.startswith(tuple(special), stop):
+            stop -= 1
+        yield text[at:start], False
+        yield text[start:stop], True
+        at = stop
+    yield text[at:], False
+
 
 def split_long(text, limit=None):
     """Cut at the first safe place after every ``limit`` characters."""
@@ -84,7 +105,18 @@ def encoder(path):
 
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     encoding = tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+    as_one = tiktoken.Encoding(f"{path}-runs", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text):
+        if len(text) < RUN_CHARS:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        parts = [
+            as_one.encode_to_numpy(part) if run else encoding.encode_to_numpy(part, allowed_special="all")
+            for part, run in long_runs(text, special)
+        ]
+        return np.concatenate(parts)
+
+    return encode
 
 
 def encode_long(encode, text):
