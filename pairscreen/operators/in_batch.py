@@ -1,12 +1,14 @@
-"""Statistics of the similarity matrix inside fixed-size batches.
+"""Statistics of the similarity matrix inside batches of any size.
 
-A batch has a fixed number of rows (see ``with_batch_id``), so its matrix fits
-a task; only per-row results leave it.  Larger groups are refused: for whole
-tables use ``retrieval``.
+The matrix of a batch is cut into tiles of about ``TILE`` rows and columns, one to a
+task; a batch of fewer rows is one tile.  ``tile`` sets another size.  Only results per row and per column of a tile
+leave it, and are merged: the best by their order, sums of exponentials by a running
+maximum (log-sum-exp), so no matrix is ever put together.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,29 +16,30 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pairscreen.operators.arrow_runs import matrix, table
 from pairscreen.operators.knowns import UNKNOWN
 
-MAX_BATCH = 4096
+#: Rows and columns of a tile, on average.
+TILE = 2048
 FEW_PARTNERS = 32
 MASKED = -1e4  # logit of a known pair off the diagonal
 
 
-def known_in_batch(rows, known, batch="batch_id", c1="c1", c2="c2"):
-    """Known cluster pairs that can occur in each batch; codes only, no vectors.
+def known_in_batch(rows, known, batch="batch_id", c1="c1", c2="c2", block=None):
+    """Known cluster pairs that can occur in each batch; codes only, no vectors.  With
+    a ``block`` column, in each tile: also the blocks ``i`` of ``c1`` and ``j`` of ``c2``.
 
     A cluster with few partners lists them and asks which are in the batch.  A
     hub, with more partners than a batch has rows, is asked the other way
     round: which clusters of the batch are its partners.  Either way a row
     leads to at most ``FEW_PARTNERS`` or batch size many."""
     degrees = known.groupBy("c1").agg(F.count(F.lit(1)).alias("n_partners"))
-    one = rows.where(F.col(c1) != UNKNOWN).select(batch, F.col(c1).alias("c1")).distinct()
-    two = rows.where(F.col(c2) != UNKNOWN).select(batch, F.col(c2).alias("c2")).distinct()
+    here, there = ([F.col(block).alias("i")], [F.col(block).alias("j")]) if block else ([], [])
+    one = rows.where(F.col(c1) != UNKNOWN).select(batch, *here, F.col(c1).alias("c1")).distinct()
+    two = rows.where(F.col(c2) != UNKNOWN).select(batch, *there, F.col(c2).alias("c2")).distinct()
     one = one.join(degrees, "c1")
     few = one.where(F.col("n_partners") <= FEW_PARTNERS).join(known, "c1")
     hubs = one.where(F.col("n_partners") > FEW_PARTNERS).join(two, batch)
-    return (
-        few.join(two, [batch, "c2"], "left_semi")
-        .select(batch, "c1", "c2")
-        .unionByName(hubs.join(known, ["c1", "c2"], "left_semi").select(batch, "c1", "c2"))
-    )
+    out = [batch, *(["i", "j"] if block else []), "c1", "c2"]
+    few = few.join(two, [batch, "c2"]).select(*out)
+    return few.unionByName(hubs.join(known, ["c1", "c2"], "left_semi").select(*out))
 
 
 def _similarity(q, k):
@@ -57,44 +60,63 @@ def _known_cells(c1, c2, pairs):
     return mask
 
 
-def _per_batch(df, known, fold, out_fields, batch, idx, q, k, c1, c2):
-    """Run ``fold(idx, similarity, known mask) -> columns`` for each batch."""
+def _blocked(rows, tile):
+    """``rows`` with the ``block`` of each and the number of ``blocks`` of its batch."""
+    sizes = rows.groupBy(F.col("batch_id").alias("of")).agg(F.ceil(F.count(F.lit(1)) / (tile or TILE)).cast("int").alias("blocks"))
+    sized = rows.join(sizes, rows["batch_id"].eqNullSafe(sizes["of"])).drop("of")
+    return sized.withColumn("block", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
+
+
+def _per_tile(df, known, fold, out_fields, batch, idx, q, k, c1, c2, tile):
+    """Run ``fold(row idx, column idx, similarity, known mask) -> columns`` for each
+    tile; both are in order of ``idx``."""
     codes = known is not None
     cols = [F.col(batch).alias("batch_id"), F.col(idx).cast("bigint").alias("idx")]
     cols += [F.col(q).alias("q"), F.col(k).alias("k")]
-    if codes:
-        cols += [F.col(c1).alias("c1"), F.col(c2).alias("c2")]
-    rows = df.select(*cols)
+    cols += [F.col(c1).alias("c1"), F.col(c2).alias("c2")] if codes else [F.lit(0).alias("c1"), F.lit(0).alias("c2")]
+    rows = _blocked(df.select(*cols), tile)
     out = T.StructType([rows.schema["batch_id"], *out_fields])
     schema = to_arrow_schema(out)
+    across = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    here = F.col("block")
+    left = rows.select("batch_id", here.alias("i"), across.alias("j"), F.lit(0).alias("side"), "idx", F.col("q").alias("v"), F.col("c1").alias("c"))
+    right = rows.select("batch_id", across.alias("i"), here.alias("j"), F.lit(1).alias("side"), "idx", F.col("k").alias("v"), F.col("c2").alias("c"))
+    sides = left.unionByName(right)
 
     def run(tab, pairs):
-        if tab.num_rows > MAX_BATCH:
-            raise ValueError(f"a batch has {tab.num_rows} rows, more than {MAX_BATCH}")
-        tab = tab.sort_by("idx").combine_chunks()
-        vectors = tab.to_batches()[0]
-        at = tab.column("idx").to_numpy()
-        sim = _similarity(matrix(vectors, "q").astype(np.float64), matrix(vectors, "k").astype(np.float64))
+        tab = tab.sort_by([("side", "ascending"), ("idx", "ascending")]).combine_chunks()
+        cut = int(np.count_nonzero(tab.column("side").to_numpy() == 0))
+        if cut in (0, tab.num_rows):  # a block without rows
+            return schema.empty_table()
+        one, two = tab.slice(0, cut).combine_chunks(), tab.slice(cut).combine_chunks()
+        a, b = (matrix(t.to_batches()[0], "v").astype(np.float64) for t in (one, two))
+        sim = _similarity(a, b)
         mask = np.zeros(sim.shape, dtype=bool)
         if codes and pairs:
-            mask = _known_cells(tab.column("c1").to_numpy(), tab.column("c2").to_numpy(), pairs)
-        cells = fold(at, sim, mask)
+            mask = _known_cells(one.column("c").to_numpy(), two.column("c").to_numpy(), pairs)
+        cells = fold(one.column("idx").to_numpy(), two.column("idx").to_numpy(), sim, mask)
         n = len(next(iter(cells.values())))
-        b = tab.column("batch_id")[0].as_py()
-        return pa.Table.from_batches([table(schema, batch_id=[b] * n, **cells)])
+        value = tab.column("batch_id")[0].as_py()
+        return pa.Table.from_batches([table(schema, batch_id=[value] * n, **cells)])
 
+    tiles = sides.groupBy("batch_id", "i", "j")
     if not codes:
-        return rows.groupBy("batch_id").applyInArrow(lambda t: run(t, []), out)
+        return tiles.applyInArrow(lambda t: run(t, []), out)
 
     def with_known(left, right):
         if left.num_rows == 0:
             return schema.empty_table()
-        pairs = list(zip(right.column("c1").to_pylist(), right.column("c2").to_pylist()))
-        return run(left, pairs)
+        return run(left, list(zip(right.column("c1").to_pylist(), right.column("c2").to_pylist())))
+
+    inside = known_in_batch(rows, known, block="block")
+    inside = inside.select(F.col("batch_id").alias("known_batch"), F.col("i").alias("known_i"), F.col("j").alias("known_j"), "c1", "c2")
+    return tiles.cogroup(inside.groupBy("known_batch", "known_i", "known_j")).applyInArrow(with_known, out)
 
-    inside = known_in_batch(rows, known).withColumnRenamed("batch_id", "known_batch")
-    both = rows.groupBy("batch_id").cogroup(inside.groupBy("known_batch"))
-    return both.applyInArrow(with_known, out)
+
+def _foremost(found, row, score, other, n):
+    """The ``n`` best of each row over all tiles, the smaller column on ties."""
+    order = Window.partitionBy("batch_id", row).orderBy(F.desc(score), other)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
 def _long(name):
@@ -111,49 +133,64 @@ def _first_best(scores, n):
     return order, np.take_along_axis(scores, order, axis=1)
 
 
-def in_batch_topk(df, top, batch="batch_id", idx="idx", q="q", k="k"):
+def in_batch_topk(df, top, batch="batch_id", idx="idx", q="q", k="k", tile=None):
     """The ``top`` most similar keys of each query inside its batch."""
 
-    def fold(at, sim, _):
+    def fold(rows, columns, sim, _):
         cols, score = _first_best(sim, min(top, sim.shape[1]))
-        n = cols.shape[1]
-        return {
-            "idx": np.repeat(at, n),
-            "match": at[cols].ravel(),
-            "sim": score.ravel(),
-            "rank": np.tile(np.arange(1, n + 1), len(at)),
-        }
+        return {"idx": np.repeat(rows, cols.shape[1]), "match": columns[cols].ravel(), "sim": score.ravel()}
 
-    fields = [_long("idx"), _long("match"), _double("sim"), _long("rank")]
-    return _per_batch(df, None, fold, fields, batch, idx, q, k, None, None)
+    fields = [_long("idx"), _long("match"), _double("sim")]
+    found = _per_tile(df, None, fold, fields, batch, idx, q, k, None, None, tile)
+    return _foremost(found, "idx", "sim", "match", top)
 
 
 def in_batch_losses(
-    df, scale, known=None, batch="batch_id", idx="idx", q="q", k="k", c1="c1", c2="c2"
+    df, scale, known=None, batch="batch_id", idx="idx", q="q", k="k", c1="c1", c2="c2", tile=None
 ):
     """Per row: cross-entropy of its row and of its column of the scaled
     similarities, and the arg-max of its row.  Known pairs off the diagonal
     are masked."""
 
-    def fold(at, sim, mask):
+    def fold(rows, columns, sim, mask):
         logits = scale * sim
-        off = mask & ~np.eye(len(at), dtype=bool)
-        logits[off] = MASKED
-        diag = np.diag(logits)
+        own = rows[:, None] == columns[None, :]
+        logits[mask & ~own] = MASKED
 
         def lse(axis):
             top = logits.max(axis=axis, keepdims=True)
             return np.log(np.exp(logits - top).sum(axis=axis)) + np.squeeze(top, axis)
 
+        best = logits.argmax(axis=1)
+        none = [None] * len(columns)
+        on = own.any(axis=1)
+        diagonal = np.where(on, np.where(own, logits, 0.0).sum(axis=1), 0.0)
         return {
-            "idx": at,
-            "row_ce": lse(1) - diag,
-            "col_ce": lse(0) - diag,
-            "top": at[logits.argmax(axis=1)],
+            "idx": np.concatenate([rows, columns]),
+            "row_lse": [*lse(1).tolist(), *none],
+            "col_lse": [*[None] * len(rows), *lse(0).tolist()],
+            "diagonal": [*(x if there else None for x, there in zip(diagonal.tolist(), on)), *none],
+            "score": [*logits[np.arange(len(rows)), best].tolist(), *none],
+            "top": [*columns[best].tolist(), *none],
         }
 
-    fields = [_long("idx"), _double("row_ce"), _double("col_ce"), _long("top")]
-    return _per_batch(df, known, fold, fields, batch, idx, q, k, c1, c2)
+    names = ("row_lse", "col_lse", "diagonal", "score")
+    fields = [_long("idx"), *map(_double, names), _long("top")]
+    found = _per_tile(df, known, fold, fields, batch, idx, q, k, c1, c2, tile)
+    whole = Window.partitionBy("batch_id", "idx")
+    for side in ("row", "col"):
+        found = found.withColumn(f"{side}_max", F.max(f"{side}_lse").over(whole))
+
+    def merged(side):
+        return F.max(f"{side}_max") + F.log(F.sum(F.exp(F.col(f"{side}_lse") - F.col(f"{side}_max"))))
+
+    best = F.max(F.when(F.col("top").isNotNull(), F.struct("score", (-F.col("top")).alias("low"))))
+    rows = found.groupBy("batch_id", "idx").agg(
+        (merged("row") - F.max("diagonal")).alias("row_ce"),
+        (merged("col") - F.max("diagonal")).alias("col_ce"),
+        (-best["low"]).alias("top"),
+    )
+    return rows.select("batch_id", "idx", "row_ce", "col_ce", "top")
 
 
 def info_nce(losses):
@@ -175,18 +212,19 @@ def top1_accuracy(losses):
 
 
 def hard_negatives(
-    df, ratio, known=None, batch="batch_id", idx="idx", q="q", k="k", c1="c1", c2="c2"
+    df, ratio, known=None, batch="batch_id", idx="idx", q="q", k="k", c1="c1", c2="c2", tile=None
 ):
     """Per row the ``max(1, int(ratio))`` most similar other rows of its batch
     that are not known partners; fewer if fewer exist."""
     wanted = max(1, int(ratio)) if ratio > 0 else 0
 
-    def fold(at, sim, mask):
-        n = min(wanted, len(at) - 1)
-        scores = np.where(mask | np.eye(len(at), dtype=bool), -np.inf, sim)
+    def fold(rows, columns, sim, mask):
+        n = min(wanted, len(columns))
+        scores = np.where(mask | (rows[:, None] == columns[None, :]), -np.inf, sim)
         cols, score = _first_best(scores, n)
         real = np.isfinite(score)
-        return {"idx1": np.repeat(at, n)[real.ravel()], "idx2": at[cols][real]}
+        return {"idx1": np.repeat(rows, n)[real.ravel()], "idx2": columns[cols][real], "sim": score[real]}
 
-    fields = [_long("idx1"), _long("idx2")]
-    return _per_batch(df, known, fold, fields, batch, idx, q, k, c1, c2)
+    fields = [_long("idx1"), _long("idx2"), _double("sim")]
+    found = _per_tile(df, known, fold, fields, batch, idx, q, k, c1, c2, tile)
+    return _foremost(found, "idx1", "sim", "idx2", wanted).select("batch_id", "idx1", "idx2")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairscreen.operators import cell_losses, in_batch, metrics
-from pairscreen.queries.views import SQL_PAIRS, batched_pairs, same_label
+from pairscreen.queries.views import SQL_PAIRS, SQL_WHOLE, batched_pairs, same_label, whole_batch
 from pairscreen.session import materialise
 from pairscreen.sources.tables import load
 
@@ -32,6 +32,27 @@ def mean_batch_loss(spark, d):
     return mean.withColumn("loss", F.round("loss", 6))
 
 
+#: Tiles of the whole table as one batch: several at every scale of the given tables.
+WHOLE_TILE = 64
+
+
+def in_batch_topk_whole(spark, d):
+    top = in_batch.in_batch_topk(whole_batch(spark, d), 3, tile=WHOLE_TILE)
+    return top.withColumn("sim", F.round("sim", 6))
+
+
+def _whole_losses(spark, d):
+    return in_batch.in_batch_losses(whole_batch(spark, d), SCALE, same_label(spark, d), tile=WHOLE_TILE)
+
+
+def info_nce_whole(spark, d):
+    return in_batch.info_nce(_whole_losses(spark, d)).withColumn("loss", F.round("loss", 6))
+
+
+def top1_accuracy_whole(spark, d):
+    return in_batch.top1_accuracy(_whole_losses(spark, d)).withColumn("top1_acc", F.round("top1_acc", 6))
+
+
 def _table_pairs(spark, d):
     return batched_pairs(spark, d).select(F.col("pair").alias("idx"), "q", "k", "c1", "c2")
 
@@ -90,6 +111,9 @@ def metrics_long(spark, d):
 
 QUERIES = {
     "in_batch_topk": in_batch_topk,
+    "in_batch_topk_whole": in_batch_topk_whole,
+    "info_nce_whole": info_nce_whole,
+    "top1_accuracy_whole": top1_accuracy_whole,
     "top1_accuracy": top1_accuracy,
     "info_nce": info_nce,
     "mean_batch_loss": mean_batch_loss,
@@ -172,3 +196,6 @@ SQL = {
               UNION ALL SELECT 'loss_weighted', lc.v + 0.5::DOUBLE * lb.v FROM lc CROSS JOIN lb)
         SELECT 1000::BIGINT AS step, 'eval/' || metric AS metric, round(value, 6) AS value FROM a""",
 }
+
+for _name in ("in_batch_topk", "info_nce", "top1_accuracy"):
+    SQL[f"{_name}_whole"] = SQL[_name].replace(SQL_PAIRS, SQL_WHOLE)

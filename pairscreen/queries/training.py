@@ -7,9 +7,11 @@ from pairscreen.operators import in_batch, knowns, negatives, sampling, training
 from pairscreen.queries.views import (
     SQL_INTERACTIONS,
     SQL_PAIRS,
+    SQL_WHOLE,
     batched_pairs,
     interactions,
     same_label,
+    whole_batch,
 )
 from pairscreen.sources.tables import load
 
@@ -80,6 +82,10 @@ def hard_negatives(spark, d):
     return in_batch.hard_negatives(_batch(spark, d), RATIOS["hard"], same_label(spark, d))
 
 
+def hard_negatives_whole(spark, d):
+    return in_batch.hard_negatives(whole_batch(spark, d), RATIOS["hard"], same_label(spark, d), tile=64)
+
+
 def all_negatives(spark, d):
     return negatives.all_negatives(_batch(spark, d), RATIOS, same_label(spark, d))
 
@@ -176,6 +182,7 @@ QUERIES = {
     "random_negatives": random_negatives,
     "self_negatives": self_negatives,
     "hard_negatives": hard_negatives,
+    "hard_negatives_whole": hard_negatives_whole,
     "all_negatives": all_negatives,
     "clip_contacts": clip_contacts,
     "labelled_cells": labelled_cells,
@@ -251,6 +258,7 @@ SQL = {
     "random_negatives": f"WITH {_NEG} SELECT batch_id, idx1, idx2 FROM random_neg",
     "self_negatives": f"WITH {_NEG} SELECT batch_id, idx1, idx2 FROM self_neg",
     "hard_negatives": f"WITH {_NEG} SELECT batch_id, idx1, idx2 FROM hard_neg",
+    "hard_negatives_whole": f"WITH {_NEG.replace(SQL_PAIRS, SQL_WHOLE)} SELECT batch_id, idx1, idx2 FROM hard_neg",
     "all_negatives": f"""WITH {_NEG}
         SELECT batch_id, idx1, idx2, 'random' AS source FROM random_neg
         UNION ALL SELECT batch_id, idx1, idx2, 'self' FROM self_neg

@@ -64,6 +64,11 @@ def batched_pairs(spark, d):
     )
 
 
+def whole_batch(spark, d):
+    """The same pairs as one batch."""
+    return batched_pairs(spark, d).withColumns({"batch_id": F.lit(0).cast("bigint"), "idx": F.col("pair")})
+
+
 def same_label(spark, d):
     """Known partners: a label with itself."""
     label = F.col("label").cast("bigint")
@@ -100,6 +105,10 @@ pairs AS (SELECT e.vec_id // 50 AS batch_id, (e.vec_id // 2) % 25 AS idx, e.vec_
                  e.label::BIGINT AS c1, o.label::BIGINT AS c2
           FROM embeddings e JOIN embeddings o ON o.vec_id = e.vec_id + 1 WHERE e.vec_id % 2 = 0)"""
 
+SQL_WHOLE = SQL_PAIRS.replace(
+    "e.vec_id // 50 AS batch_id, (e.vec_id // 2) % 25 AS idx", "0::BIGINT AS batch_id, e.vec_id // 2 AS idx"
+)
+
 SQL_INTERACTIONS = """
 inter AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag,
                  CASE WHEN l_returnflag <> 'R' THEN l_partkey END AS seq1_cluster,

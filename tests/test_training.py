@@ -122,10 +122,31 @@ def test_batch_losses(spark):
     assert all(top[(i, 1)] == int((q @ k.T)[i].argmax()) for i in range(7))
 
 
-def test_oversized_batch_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(in_batch, "MAX_BATCH", 3)
-    with pytest.raises(Exception, match="more than 3"):
-        in_batch.in_batch_losses(batch(spark, 4)[2], 1.0).collect()
+def _all_results(df, known):
+    losses = {(r.batch_id, r.idx): (r.row_ce, r.col_ce, r.top) for r in in_batch.in_batch_losses(df, 3.0, known).collect()}
+    top = sorted(map(tuple, in_batch.in_batch_topk(df, 4).collect()), key=repr)
+    hard = sorted((r.batch_id, r.idx1, r.idx2) for r in in_batch.hard_negatives(df, 3.0, known).where("batch_id = 0").collect())
+    return losses, top, hard
+
+
+@pytest.mark.parametrize("tile", [1, 7, 20])
+def test_batches_of_any_size(spark, monkeypatch, tile):
+    """Tiles give what one matrix gives, with a hub, equal vectors and two batches."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for b, n in ((0, 45), (None, 6)):
+        for i in range(n):
+            q, k = (rng.integers(-2, 3, 3).astype(float).tolist() for _ in range(2))
+            rows.append((b, i, q, k, int(rng.integers(-1, 6)), int(rng.integers(-1, 6))))
+    df = spark.createDataFrame(rows, "batch_id long, idx long, q array<double>, k array<double>, c1 long, c2 long")
+    known = spark.createDataFrame([(0, c) for c in range(6)] + [(2, 3), (4, 1)], "c1 long, c2 long")
+    monkeypatch.setattr(in_batch, "FEW_PARTNERS", 3)
+    want = _all_results(df, known)
+    monkeypatch.setattr(in_batch, "TILE", tile)
+    got = _all_results(df, known)
+    assert got[1:] == want[1:] and got[0].keys() == want[0].keys()
+    for key, (row, col, top) in want[0].items():
+        assert got[0][key][:2] == pytest.approx((row, col), abs=1e-9) and got[0][key][2] == top
 
 
 def test_mean_of_batches_ignores_their_size(spark):
