@@ -1,104 +1,72 @@
 """Positions, offsets, batches and slices over a global or per-group order.
 
-A window over one big group would put that group into one task.  Here the
-order is cut at a few dozen sampled split points first: rows are numbered
-inside each (group, slice) and then shifted by the exact row count of the
-slices before it.  Any split points give the same answer, so the sample only
-decides the balance.
+A window over one big group would put that group into one task.  Here the rows are
+sorted once by a range shuffle and written; a row's number in its partition plus the
+rows of the partitions before it is its position.  Any cut of the range gives the same
+answer, so Spark's own sampling only decides the balance.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairscreen.functions import hash_uniform
-from pairscreen.session import parallelism
+from pairscreen.session import materialise
 
 _SLICE = "__slice"
+_PLACE = "__place"
 _SHIFT = "__shift"
-# Both bound what the driver sees.
-_SAMPLE = 10_000
-_MAX_SLICES = 256
 
 
-def split_points(df, order, slices):
-    """Rows of ``order`` values cutting the order into about equal slices, from
-    a bottom-of-hash sample: one pruned scan.  A table no larger than the sample
-    is not cut at all."""
-    names = [f"o{n}" for n in range(len(order))]
-    keys = df.select(*[F.col(c).alias(n) for c, n in zip(order, names)])
-    sample = keys.orderBy(F.xxhash64(*names)).limit(_SAMPLE).orderBy(*names).collect()
-    if len(sample) < _SAMPLE:
-        return []
-    step = _SAMPLE // slices
-    return [tuple(row) for row in sample[step::step]][: slices - 1]
-
-
-def _slice_of(df, order, points):
-    """Binary search over the split points as one nested CASE."""
-    types = dict(df.dtypes)
-    key = F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order)])
-
-    def at(point):
-        return F.struct(
-            *[F.lit(v).cast(types[c]).alias(f"o{n}") for n, (v, c) in enumerate(zip(point, order))]
-        )
+def _ranged(df, order, slices):
+    """``df`` in ``slices`` ranges of ``order``, written as it lies: each row with its
+    slice and its place in it.  Read again, both stay what they are."""
+    if slices is None:
+        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    place = number.bitwiseAND(F.lit((1 << 33) - 1))
+    return materialise(ranged.select("*", F.shiftright(number, 33).alias(_SLICE), place.alias(_PLACE)), "ranges")
 
-    def search(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < at(points[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return search(0, len(points))
+def _before(rows, measure):
+    """What ``measure`` adds up to in the slices before each: as many rows as slices."""
+    before = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(_SLICE).agg(measure.alias("__n"))
+    return F.broadcast(totals.select(_SLICE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_SHIFT)))
 
 
-def _sliced(df, order, slices):
-    """``df`` with its slice number, and whether there is more than one slice."""
-    if slices is None:
-        slices = min(_MAX_SLICES, parallelism(df.sparkSession))
-    points = split_points(df, order, slices) if slices > 1 else []
-    return df.withColumn(_SLICE, _slice_of(df, order, points)), bool(points)
-
-
-def _shifted(rows, cut, by, measure):
-    """Add the total of ``measure`` over the slices before each (group, slice)."""
-    before = (
-        Window.partitionBy(*[F.col(c) for c in by])
-        .orderBy(_SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = cut.groupBy(*by, _SLICE).agg(measure.alias("__n"))
-    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_SHIFT)
-    return rows.join(totals.select(*by, _SLICE, shift), [*by, _SLICE])
+def _from_group_start(rows, value, by, out):
+    """``value`` less its least in each group; a group lies in one stretch of the order."""
+    if by:
+        first = rows.groupBy(*by).agg(F.min(value).alias("__first"))
+        rows = rows.join(first, by)
+        rows = rows.withColumn(out, (F.col(value) - F.col("__first")).cast("bigint"))
+    else:
+        rows = rows.withColumn(out, F.col(value).cast("bigint"))
+    return rows.drop(value, "__first", _SLICE, _PLACE, _SHIFT)
 
 
 def with_position(df, order, by=(), out="pos", slices=None):
     """0-based position of each row in ``order`` inside its ``by`` group.
     ``order`` should end in a unique column; ``by`` columns must not be null."""
     by = list(by)
-    cut, several = _sliced(df, list(order), slices)
-    inside = Window.partitionBy(*by, _SLICE).orderBy(*order)
-    rows = cut.withColumn("__rn", F.row_number().over(inside))
-    rows = _shifted(rows, cut, by, F.count(F.lit(1))) if several else rows.withColumn(_SHIFT, F.lit(0))
-    return rows.withColumn(out, (F.col("__rn") - 1 + F.col(_SHIFT)).cast("bigint")).drop(
-        "__rn", _SLICE, _SHIFT
-    )
+    columns = df.columns
+    rows = _ranged(df, [*by, *order], slices)
+    rows = rows.join(_before(rows, F.count(F.lit(1))), _SLICE).withColumn("__at", F.col(_PLACE) + F.col(_SHIFT))
+    return _from_group_start(rows, "__at", by, out).select(*columns, out)
 
 
 def with_offsets(df, order, length, by=(), out="offset", slices=None):
-    """Start offset of each ragged row: the lengths before it, summed."""
+    """Start offset of each ragged row: the lengths before it, summed; none is negative
+    (null counts as 0)."""
     by = list(by)
-    cut, several = _sliced(df, list(order), slices)
-    before = (
-        Window.partitionBy(*by, _SLICE)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    rows = cut.withColumn("__run", F.coalesce(F.sum(length).over(before), F.lit(0)))
-    rows = _shifted(rows, cut, by, F.sum(length)) if several else rows.withColumn(_SHIFT, F.lit(0))
-    return rows.withColumn(out, (F.col("__run") + F.col(_SHIFT)).cast("bigint")).drop(
-        "__run", _SLICE, _SHIFT
-    )
+    columns = df.columns
+    rows = _ranged(df, [*by, *order], slices)
+    inside = Window.partitionBy(_SLICE).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    run = F.coalesce(F.sum(length).over(inside), F.lit(0))
+    rows = rows.withColumn("__run", run).join(_before(rows, F.sum(length)), _SLICE)
+    rows = rows.withColumn("__at", F.col("__run") + F.col(_SHIFT)).drop("__run")
+    return _from_group_start(rows, "__at", by, out).select(*columns, out)
 
 
 def with_batch_id(df, size, order, by=(), out="batch_id", slices=None):

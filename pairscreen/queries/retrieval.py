@@ -45,10 +45,15 @@ def candidate_counts(spark, d):
     return count_candidates(_union(spark, d), ["host_proteome", "q_id"])
 
 
-def inner_products(spark, d):
+def _with_following(spark, d):
+    """Each vector with the next one, the last with the first."""
     v = vectors(spark, d)
-    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("following"))
-    return v.join(following, "vec_id").select(
+    before = F.pmod(F.col("vec_id") - 1, F.lit(v.count())).alias("vec_id")
+    return v.join(v.select(before, F.col("vec").alias("following")), "vec_id")
+
+
+def inner_products(spark, d):
+    return _with_following(spark, d).select(
         "vec_id", F.round(inner_product("vec", "following"), 6).alias("ip")
     )
 
@@ -62,9 +67,7 @@ def l2_normalised(spark, d):
 
 
 def multihead(spark, d):
-    v = vectors(spark, d)
-    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("following"))
-    return v.join(following, "vec_id").select(
+    return _with_following(spark, d).select(
         "vec_id", F.round(multihead_logit("vec", "following", WEIGHTS, -3.0), 6).alias("logit")
     )
 
@@ -150,7 +153,7 @@ SQL = {
         SELECT host_proteome, q_id, count(*) AS n_candidates FROM cand GROUP BY ALL""",
     "inner_product": """
         SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS ip
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)""",
     "l2_normalise": """
         WITH c AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim,
                           unnest(embedding::DOUBLE[]) * (label + 2) AS x FROM embeddings),
@@ -158,7 +161,7 @@ SQL = {
         SELECT vec_id, dim, round(x / greatest(n, 1e-12::DOUBLE), 6) AS x FROM c JOIN n USING (vec_id)""",
     "multihead_logit": f"""
         SELECT a.vec_id, round(-3.0::DOUBLE + {_HEADS}, 6) AS logit
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)""",
     "threshold_filter": f"""WITH {_SELF}
         SELECT q_id, c_id, round(score, 6) AS contact_score FROM top WHERE score > {THRESHOLD}::DOUBLE""",
     "dedupe_pairs": f"""WITH {_SELF}

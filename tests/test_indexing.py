@@ -1,17 +1,10 @@
 import numpy as np
 import pandas as pd
-
-import pytest
+from pyspark.sql import functions as F
 
 from pairscreen.operators import indexing
 
 
-@pytest.fixture(autouse=True, params=[20, 10_000])
-def sample(request, monkeypatch):
-    """Cut the small tables of these tests, too."""
-    monkeypatch.setattr(indexing, "_SAMPLE", request.param)
-
-
 def skewed(spark, n=700):
     rng = np.random.default_rng(0)
     # One group holds a third of the rows; the order column repeats.
@@ -61,6 +54,20 @@ def test_take_examples_is_the_head_of_the_shuffle(spark):
     assert shuffled != [r.id for r in indexing.seeded_shuffle(df.select("id"), "id", 8).collect()]
 
 
+def test_more_slices_than_rows_and_than_before(spark):
+    """No bound on the number of slices; empty ones count for nothing."""
+    df = spark.range(40).withColumnRenamed("id", "o").withColumn("o", F.col("o") * 7)
+    got = indexing.with_position(df, ["o"], slices=300).collect()
+    assert sorted((r.o, r.pos) for r in got) == [(7 * i, i) for i in range(40)]
+    assert got[0].asDict().keys() == {"o", "pos"}
+
+
+def test_offsets_of_null_lengths(spark):
+    df = spark.createDataFrame([(1, None), (2, 3), (3, 0), (4, 5)], "id int, len int")
+    got = {r.id: r.offset for r in indexing.with_offsets(df, ["id"], "len", slices=3).collect()}
+    assert got == {1: 0, 2: 0, 3: 3, 4: 3}
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g string, o int, id int")
     assert indexing.with_position(df, ["o", "id"], ["g"]).count() == 0
