@@ -12,6 +12,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F
+
+from pairscreen.operators import contacts
 from pairscreen.queries import all_queries
 from pairscreen.session import build_session
 
@@ -19,6 +22,7 @@ HEADLINE = (
     "topk_self topk_union dedupe_pairs best_host contact_scores contact_map all_vs_all cross_screen "
     "pair_inventory pending_pairs merge_first_wins interaction_keys cluster_index known_mask "
     "all_negatives labelled_cells training_records cluster_sample info_nce retrieval_metrics "
+    "info_nce_whole contact_scores_batched "
     "contact_bce contact_focal residue_rows encode_documents stream_dedupe"
 ).split()
 
@@ -35,6 +39,29 @@ def run(query, spark, folder):
     return min(times)
 
 
+def scored_pairs(spark, folder, proteins=64, length=300):
+    """Pairs of proteins of ``length`` residues scored in a second, by the default scorer
+    and by one of padded batches.  Residues are vectors of the embeddings table."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    n = vectors.count()
+    place = spark.range(proteins * length).select(
+        (F.col("id") / length).cast("int").cast("long").alias("protein"),
+        F.col("id").alias("at"),
+        F.pmod(F.xxhash64("id"), F.lit(n)).alias("vec_id"),
+    )
+    rows = place.join(vectors, "vec_id").groupBy("protein")
+    maps = rows.agg(F.sort_array(F.collect_list(F.struct("at", "embedding"))).alias("r"))
+    maps = maps.select("protein", F.transform("r", lambda x: x["embedding"]).alias("residues")).cache()
+    ids = maps.select(F.col("protein").alias("q_id"))
+    pairs = ids.withColumn("c_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(proteins - 1).cast("long")))).cache()
+    sides = (maps.withColumnRenamed("protein", "q_id"), maps.withColumnRenamed("protein", "c_id"))
+    out, count = {}, pairs.count()
+    for name, scorer in (("scored_pairs_per_sec", contacts.MultiHeadDot()), ("scored_pairs_per_sec_padded", contacts.PaddedDot())):
+        seconds = run(lambda s, f, scorer=scorer: contacts.contact_scores(pairs, *sides, scorer=scorer), spark, folder)
+        out[name] = round(count / seconds)
+    return out
+
+
 def rates(spark, folder, seconds):
     """Work per second, so that runs at other scales can be compared."""
     n = spark.read.parquet(f"{folder}/embeddings.parquet").count()
@@ -48,6 +75,7 @@ def rates(spark, folder, seconds):
         "map_cells_per_sec": round(cells / seconds["contact_map"]),
         "resolution_rows_per_sec": round(events / seconds["merge_first_wins"]),
         "sweep_plan_rows_per_sec": round(plan / seconds["pending_pairs"]),
+        **scored_pairs(spark, folder),
     }
 
 

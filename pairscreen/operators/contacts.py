@@ -24,6 +24,9 @@ from pairscreen.session import parallelism
 SIDE_BYTES = 128 << 20
 MAX_PARTITIONS = 20_000
 CELLS = 4_000_000
+# Pairs, and values of their matrices, that a task sorts by length at once.
+HELD_PAIRS = 8_192
+HELD_VALUES = 16 << 20
 
 _TILE = ["qb", "cb"]
 
@@ -77,6 +80,74 @@ class Dot(MultiHeadDot):
         return r1.astype(np.float64)
 
 
+class PaddedDot(MultiHeadDot):
+    """The default scorer as a model that takes padded batches: ``batch`` gets two
+    stacks of matrices, filled up with zeros, and where they are real."""
+
+    separable = False
+
+    def batch(self, r1, r2, real1, real2):
+        return np.matmul(self.fold(r1.reshape(-1, r1.shape[2])).reshape(r1.shape), r2.astype(np.float64).transpose(0, 2, 1)) + self.bias
+
+
+def _loaded(scorer):
+    """The scorer of a task: ``load`` is called once, where there is one, and may return
+    the scorer to use."""
+    return (scorer.load() if hasattr(scorer, "load") else None) or scorer
+
+
+def _stack(mats):
+    """Matrices as one array of the longest one's length, and which rows are real."""
+    longest = max(map(len, mats))
+    out = np.zeros((len(mats), longest, mats[0].shape[1]), mats[0].dtype)
+    for held, m in zip(out, mats):
+        held[: len(m)] = m
+    return out, np.arange(longest) < np.array([len(m) for m in mats])[:, None]
+
+
+def length_batches(shapes, cells):
+    """Cut pairs with these shapes into batches of like lengths, whose padded maps have
+    at most ``cells`` cells together (a larger map alone): lists of pair numbers."""
+    order = sorted(range(len(shapes)), key=lambda n: (max(shapes[n]), shapes[n], n))
+    now, rows, columns = [], 0, 0
+    for n in order:
+        rows, columns = max(rows, shapes[n][0]), max(columns, shapes[n][1])
+        if now and (len(now) + 1) * rows * columns > cells:
+            yield now
+            now, (rows, columns) = [], shapes[n]
+        now.append(n)
+    if now:
+        yield now
+
+
+def batched_best(scorer, pairs, cells):
+    """Largest logit of each of ``pairs`` (two matrices); padding never wins."""
+    out = np.empty(len(pairs))
+    for some in length_batches([(len(a), len(b)) for a, b in pairs], cells):
+        (r1, real1), (r2, real2) = (_stack([pairs[n][side] for n in some]) for side in (0, 1))
+        logits = np.asarray(scorer.batch(r1, r2, real1, real2), dtype=np.float64)
+        logits = np.where(real1[:, :, None] & real2[:, None, :], logits, -np.inf)
+        out[some] = logits.max(axis=(1, 2))
+    return out
+
+
+def _held(pairs, most):
+    """Pairs (query, candidate, two matrices) in lists whose matrices have about ``most``
+    values together: what a task holds to sort by length."""
+    held, seen, size = [], set(), 0
+    for pair in pairs:
+        held.append(pair)
+        for m in pair[2:]:
+            if id(m) not in seen:
+                seen.add(id(m))
+                size += m.size
+        if size > most or len(held) >= HELD_PAIRS:
+            yield held
+            held, seen, size = [], set(), 0
+    if held:
+        yield held
+
+
 def _best(scorer, r1, others):
     if getattr(scorer, "separable", False):
         return scorer.best(r1, others)
@@ -188,20 +259,32 @@ def contact_scores(
     c_id="c_id",
     residue_col="residues",
     side_bytes=SIDE_BYTES,
+    cells=CELLS,
 ):
     """``(q_id, c_id, max_logit, contact_score)`` of every distinct pair whose
     two proteins have residues.  ``q_res`` carries ``q_id`` and ``c_res``
     carries ``c_id``, each with an ARRAY<ARRAY<FLOAT>> column.  Orientation
     counts: (a, b) and (b, a) are different pairs.
+
+    A scorer with ``batch`` is called with padded batches of pairs of like lengths, of
+    at most ``cells`` cells; one without takes a pair at a time by ``logits``.  Its
+    ``load`` is called once in each task.  Batches do not change the scores.
     """
     scorer = scorer or MultiHeadDot()
     out = T.StructType([*_types(pairs, q_id, c_id), T.StructField("max_logit", T.DoubleType())])
     schema = to_arrow_schema(out)
 
     def task(batches):
+        model = _loaded(scorer)
+        if hasattr(model, "batch"):
+            flat = ((q, c, q_mat, m) for q, q_mat, c_ids, mats in _tile_pairs(batches) for c, m in zip(c_ids, mats))
+            for held in _held(flat, HELD_VALUES):
+                best = batched_best(model, [(a, b) for _, _, a, b in held], cells)
+                yield table(schema, q_id=[p[0] for p in held], c_id=[p[1] for p in held], max_logit=best)
+            return
         for q, q_mat, c_ids, mats in _tile_pairs(batches):
             for some, some_mats in _chunks(q_mat, c_ids, mats):
-                best = _best(scorer, q_mat, some_mats)
+                best = _best(model, q_mat, some_mats)
                 yield table(schema, q_id=[q] * len(some), c_id=some, max_logit=best)
 
     distinct = pairs.select(q_id, c_id).distinct()
@@ -233,9 +316,10 @@ def contact_map(
     schema = to_arrow_schema(out)
 
     def task(batches):
+        model = _loaded(scorer)
         for q, q_mat, c_ids, mats in _tile_pairs(batches):
             for c, m in zip(c_ids, mats):
-                cells = scorer.logits(q_mat, m)
+                cells = model.logits(q_mat, m)
                 n = len(cells)
                 yield table(
                     schema,

@@ -50,6 +50,14 @@ def contact_scores(spark, d):
     return scored.select("q_id", "c_id", F.round("contact_score", 6).alias("contact_score"))
 
 
+def contact_scores_batched(spark, d):
+    """The same scores by a model of padded batches of a few maps."""
+    pairs = materialise(_candidates(spark, d), "candidates")
+    scorer = contacts.PaddedDot(HEADS, bias=-3.0)
+    scored = contacts.contact_scores(pairs, *_sides(spark, d), scorer=scorer, cells=2_000)
+    return scored.select("q_id", "c_id", F.round("contact_score", 6).alias("contact_score"))
+
+
 def candidate_residues(spark, d):
     lengths = residues_long(spark, d).groupBy(F.col("protein").alias("id")).agg(
         F.count(F.lit(1)).alias("length")
@@ -105,6 +113,7 @@ def cross_screen(spark, d):
 QUERIES = {
     "contact_map": contact_map,
     "contact_scores": contact_scores,
+    "contact_scores_batched": contact_scores_batched,
     "candidate_residues": candidate_residues,
     "mean_pool": mean_pool,
     "max_pool": max_pool,
@@ -188,3 +197,5 @@ SQL = {
         FROM best JOIN tops ON tops.h = best.h AND tops.q_id = best.q_id
         WHERE score > {SCREEN_THRESHOLD}::DOUBLE""",
 }
+
+SQL["contact_scores_batched"] = SQL["contact_scores"]

@@ -114,3 +114,61 @@ def test_volume_is_read_from_lengths(spark, proteins):
 
     assert contacts.residue_bytes(q, "residues") == want
     assert contacts.residue_bytes(q.withColumn("length", F.size("residues")), "residues") == want
+
+
+def model():
+    """Made inside a function, so that tasks get it by value."""
+
+    class Model:
+        """A scorer that has to be loaded, and whose padding would win."""
+
+        def __init__(self, ready=False):
+            self.ready = ready
+
+        def load(self):
+            return type(self)(ready=True)
+
+        def batch(self, r1, r2, real1, real2):
+            assert self.ready and r1.shape[0] == r2.shape[0] == len(real1) == len(real2)
+            logits = np.matmul(r1.astype(float), r2.astype(float).transpose(0, 2, 1))
+            return np.where(real1[:, :, None] & real2[:, None, :], logits, 1e9)
+
+        def logits(self, r1, r2):
+            assert self.ready
+            return r1.astype(float) @ r2.astype(float).T
+
+    return Model()
+
+
+@pytest.mark.parametrize("cells, held", [(1, 1), (500, 7), (1 << 22, 8_192)])
+def test_batches_do_not_change_the_scores(spark, monkeypatch, cells, held):
+    rng = np.random.default_rng(4)
+    mats = [rng.standard_normal((n, 8)).astype(np.float32) - 3 for n in (1, 40, 3, 17, 3, 90)]
+    monkeypatch.setattr(contacts, "HELD_PAIRS", held)
+    q, c = protein_frames(spark, mats)
+    pairs = [(i, j) for i in range(6) for j in range(6)]
+    got = scores(contacts.contact_scores(pair_frame(spark, pairs), q, c, model(), cells=cells))
+    assert got.keys() == set(pairs)
+    for (i, j), (logit, _) in got.items():
+        assert abs(logit - (mats[i].astype(float) @ mats[j].astype(float).T).max()) < 1e-9
+    cell = contacts.contact_map(pair_frame(spark, [(0, 2)]), q, c, model()).orderBy("j").collect()
+    assert [r.j for r in cell] == [0, 1, 2]
+
+
+def test_padded_default_scorer_agrees_with_the_default(spark, proteins):
+    q, c = protein_frames(spark, proteins)
+    pairs = pair_frame(spark, [(a, b) for a in range(5) for b in range(5)])
+    one = scores(contacts.contact_scores(pairs, q, c, contacts.MultiHeadDot([0.5, 2.0], bias=-1.0)))
+    other = scores(contacts.contact_scores(pairs, q, c, contacts.PaddedDot([0.5, 2.0], bias=-1.0), cells=50_000))
+    assert one.keys() == other.keys() and all(abs(one[p][0] - other[p][0]) < 1e-9 for p in one)
+
+
+def test_length_batches_hold_all_pairs_within_the_budget():
+    rng = np.random.default_rng(0)
+    shapes = [tuple(x) for x in rng.integers(1, 60, (200, 2)).tolist()]
+    batches = list(contacts.length_batches(shapes, 5_000))
+    assert sorted(n for b in batches for n in b) == list(range(200))
+    for b in batches:
+        area = len(b) * max(shapes[n][0] for n in b) * max(shapes[n][1] for n in b)
+        assert len(b) == 1 or area <= 5_000
+    assert len(batches) < 80
