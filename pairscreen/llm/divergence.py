@@ -17,11 +17,11 @@ from pairscreen.session import materialise
 #: What separates terms: all ASCII but letters (fixed by the contract).
 _GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text split at once, and rows of counts that a task holds before it emits.
-SLICE, HELD = 4 << 20, 1 << 20
+SLICE, HELD = 2 << 20, 1 << 18
 #: Sources of one block: a tile holds a matrix of sums over two of them.
 SOURCES = 1_024
 #: Entries of the matrix of terms by sources that are worked on at once.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 19
 #: p-values are whole multiples of 1 / ONE.
 ONE, PRIOR = 1_000_000_000, 5
 
@@ -86,8 +86,11 @@ def term_counts(docs, text_col="text", lang_col="lang", source_col="source"):
                     if rows > HELD // 2:
                         yield from held[0].combine_chunks().to_batches()
                         held, rows = [], 0
+                        pa.default_memory_pool().release_unused()
         if held:
             yield from _merged(held).combine_chunks().to_batches()
+        del held
+        pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
 
     rows = docs.select(*(docs[c].cast("string").alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     partial = rows.mapInArrow(run, numbered(_COUNTS))
