@@ -20,6 +20,8 @@ _GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SLICE, HELD = 2 << 20, 1 << 18
 #: Sources of one block: a tile holds a matrix of sums over two of them.
 SOURCES = 1_024
+#: Counts of one shard; more if a language has so many sources that their pairs are more.
+SHARD_ROWS = 1 << 15
 #: Entries of the matrix of terms by sources that are worked on at once.
 ENTRIES = 1 << 19
 #: p-values are whole multiples of 1 / ONE.
@@ -231,20 +233,21 @@ def divergences(docs, text_col="text", lang_col="lang", source_col="source", lea
     without any, still has its pairs (0 if the language keeps none).  Repeated rows are
     documents of their own; an empty table gives no rows; other columns are ignored.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = materialise(term_counts(docs, text_col, lang_col, source_col), "term-counts")
     by_lang = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("lang_times"))
     kept = by_lang.where(F.col("docs") >= least_docs).select("lang", "term", "lang_times")
     kept = materialise(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "times", "lang_times"), "kept-terms")
-    size = kept.groupBy("lang").agg(F.sum("times").alias("lang_total"), F.countDistinct("term").alias("terms"))
+    size = kept.groupBy("lang").agg(F.sum("times").alias("lang_total"), F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("rows"))
     total = kept.groupBy("lang", "source").agg(F.sum("times").alias("total"))
     groups = counts.where("term = ''").select("lang", "source").join(total, ["lang", "source"], "left").join(size, "lang", "left")
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("blocks"))
+    counted = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("all_rows"))
+    shards = F.ceil(F.coalesce("all_rows", F.lit(1)) / F.greatest(F.lit(SHARD_ROWS), F.col("n") * F.col("n"))).cast("int")
+    counted = counted.select("lang", F.ceil(F.col("n") / SOURCES).cast("int").alias("blocks"), shards.alias("shards"))
     block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int").alias("block")
-    groups = groups.join(blocks, "lang").select("*", block).fillna(0, ["total", "terms", "lang_total"])
-    heads = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    groups = groups.join(counted, "lang").select("*", block).drop("rows").fillna(0, ["total", "terms", "lang_total"])
+    heads = groups.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     heads = heads.select("*", F.lit(0).alias("head"), F.lit("").alias("term"), F.lit(0).cast("long").alias("times"), F.lit(0).cast("long").alias("lang_times"))
-    own = F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard")
+    own = F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard")
     body = kept.join(groups, ["lang", "source"]).select("*", own, F.lit(1).alias("head"))
     tiles = heads.unionByName(body).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})

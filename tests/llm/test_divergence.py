@@ -77,6 +77,7 @@ def test_small_limits_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 20)
     monkeypatch.setattr(divergence, "SOURCES", 2)
     monkeypatch.setattr(divergence, "ENTRIES", 9)
+    monkeypatch.setattr(divergence, "SHARD_ROWS", 25)
     check(spark, made_up(2), least_docs=4, top=3)
 
 
