@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pairscreen.functions import inner_product
 from pairscreen.operators.indexing import with_offsets
 from pairscreen.operators.knowns import UNKNOWN
-from pairscreen.operators.retrieval import rank_against, topk_by_space
+from pairscreen.operators.partners import best_partner
+from pairscreen.operators.retrieval import rank_against
 from pairscreen.session import materialise
 
 KS = (1, 5, 10)
@@ -18,7 +19,7 @@ KS = (1, 5, 10)
 def best_valid(queries, keys, known=None, own=True, **blocks):
     """Best valid key of each query as ``(q_id, bar, bar_id)``.  Valid are keys
     with the query's own id (``own``) and keys whose cluster is a known partner
-    of the query's.  Frames: ``q_id``/``c_id``, ``vec`` and ``cluster``."""
+    of the query's.  Frames: ``q_id``/``c_id``, ``vec`` and ``cluster``; ``known``: distinct."""
     parts = []
     if own:
         pairs = queries.select("q_id", F.col("vec").alias("qv")).join(
@@ -29,10 +30,7 @@ def best_valid(queries, keys, known=None, own=True, **blocks):
         )
     if known is not None:
         has = F.col("cluster").cast("string") != str(UNKNOWN)
-        partners = known.select(F.col("c1").alias("cluster"), F.col("c2").alias("partner"))
-        asked = queries.where(has).join(partners, "cluster").select("q_id", "vec", "partner")
-        held = keys.where(has).select("c_id", "vec", "cluster")
-        found = topk_by_space(asked, held, 1, q_space="partner", k_space="cluster", **blocks)
+        found = best_partner(queries.where(has), keys.where(has), known, **blocks)
         parts.append(found.select("q_id", F.col("c_id").alias("bar_id"), F.col("ip").alias("bar")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     first = F.min(F.struct((-F.col("bar")).alias("neg"), F.col("bar_id"))).alias("b")

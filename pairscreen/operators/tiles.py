@@ -32,14 +32,15 @@ def block_rows(row_bytes):
 
 class TilePlan:
     """How many pieces each space is cut into: ``n_lb``, ``n_rb`` and ``base``,
-    the number of its first tile.  One space gives literals.  Several give a
+    the number of its first tile.  One space gives literals, and ``rows`` of both sides.  Several give a
     frame, broadcast only when their number was checked to be small."""
 
-    def __init__(self, partitions, single_shard, pieces=None, frame=None):
+    def __init__(self, partitions, single_shard, pieces=None, frame=None, rows=None):
         self.partitions = partitions
         self.single_shard = single_shard
         self.pieces = pieces
         self.frame = frame
+        self.rows = rows
 
     def attach(self, side):
         if self.frame is not None:
@@ -74,7 +75,7 @@ def plan(left, right, one_space, left_block, right_shard=None):
         n_left, n_right = both.agg(*totals).first()
         cut, partitions = _cut([(0, n_left, n_right)], slots, block(n_left), right_shard)
         _, n_lb, n_rb, _ = cut[0]
-        return TilePlan(partitions, n_rb == 1, pieces=(n_lb, n_rb))
+        return TilePlan(partitions, n_rb == 1, pieces=(n_lb, n_rb), rows=(n_left, n_right))
     sizes = both.groupBy("space").agg(*totals).where("space is not null and n_left > 0 and n_right > 0")
     rows = sizes.limit(MAX_LOCAL_SPACES + 1).collect()
     many = len(rows) > MAX_LOCAL_SPACES
