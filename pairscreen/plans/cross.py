@@ -8,10 +8,10 @@ hosts.
 from pyspark.sql import functions as F
 
 from pairscreen.operators.contacts import contact_scores
-from pairscreen.operators.indexing import with_batch_id
+from pairscreen.operators.grid import PairGrid, cut
 from pairscreen.operators.resolve import best_host
 from pairscreen.operators.retrieval import topk_union
-from pairscreen.operators.sweep import candidate_counts, pair_inventory, pending_pairs
+from pairscreen.operators.sweep import candidate_counts
 from pairscreen.operators.training import require_min
 from pairscreen.session import materialise
 from pairscreen.sources.results import PAIR, read_pair_status, write_pair_results
@@ -76,12 +76,12 @@ def run_sweep(
     names = host.select(F.col("proteome_id").alias("host_proteome"))
     if hosts is not None:
         names = names.join(hosts, "host_proteome", "left_semi")
-    inventory = pair_inventory(names, viral.select(F.col("proteome_id").alias("viral_proteome")))
-    pending = pending_pairs(inventory, _done(spark, path)).select(*PAIR)
-    todo = materialise(with_batch_id(pending, wave_pairs, PAIR, out="wave"), "pending")
-    n = todo.count()
-    for wave in range(-(-n // wave_pairs)):
-        pairs = todo.where(F.col("wave") == wave).select(*PAIR)
+    grid = PairGrid(names, viral.select(F.col("proteome_id").alias("viral_proteome")))
+    todo = materialise(grid.placed(_done(spark, path)), "pending")
+    n = todo.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    for start in range(0, n, wave_pairs):
+        # Ranges become pairs a wave at a time.
+        pairs = materialise(grid.pairs(cut(todo, start, start + wave_pairs)).select(*PAIR), "wave")
         results, candidates = cross_screen(
             _busy(host, pairs, "host_proteome"),
             _busy(viral, pairs, "viral_proteome"),

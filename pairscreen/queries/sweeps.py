@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pairscreen.functions import pair_name
 from pairscreen.operators import sweep
+from pairscreen.operators.grid import PairGrid
 from pairscreen.sources.tables import load
 
 DONE_ABOVE = 60.0
@@ -25,6 +26,11 @@ def _inventory(spark, d):
     return sweep.pair_inventory(e.select("host_proteome"), e.select("viral_proteome"))
 
 
+def _grid(spark, d):
+    e = _events(spark, d)
+    return PairGrid(e.select("host_proteome"), e.select("viral_proteome"))
+
+
 def _done(spark, d):
     return _events(spark, d).where(F.col("value") > DONE_ABOVE)
 
@@ -34,13 +40,17 @@ def pair_inventory(spark, d):
 
 
 def pending_pairs(spark, d):
-    return sweep.pending_pairs(_inventory(spark, d), _done(spark, d)).select(
-        "host_proteome", "viral_proteome"
-    )
+    grid = _grid(spark, d)
+    return grid.pairs(grid.free(_done(spark, d))).select("host_proteome", "viral_proteome")
 
 
 def sweep_progress(spark, d):
-    return sweep.sweep_progress(_inventory(spark, d), _done(spark, d))
+    return _grid(spark, d).progress(_done(spark, d))
+
+
+def pending_ranges(spark, d):
+    """Gaps of each host's finished pairs, with the pending pairs before each."""
+    return _grid(spark, d).placed(_done(spark, d))
 
 
 def pair_names(spark, d):
@@ -79,6 +89,7 @@ def merge_first_wins(spark, d):
 QUERIES = {
     "pair_inventory": pair_inventory,
     "pending_pairs": pending_pairs,
+    "pending_ranges": pending_ranges,
     "sweep_progress": sweep_progress,
     "pair_names": pair_names,
     "worklist_join": worklist_join,
@@ -100,6 +111,12 @@ SQL = {
     "pair_inventory": f"WITH {_GRID} SELECT * FROM inv",
     "pending_pairs": f"""WITH {_GRID}
         SELECT host_proteome, viral_proteome FROM inv ANTI JOIN done USING (host_proteome, viral_proteome)""",
+    "pending_ranges": f"""WITH {_GRID},
+        p AS (SELECT host_idx, viral_idx, viral_idx - row_number() OVER (PARTITION BY host_idx ORDER BY viral_idx) AS run
+              FROM inv ANTI JOIN done USING (host_proteome, viral_proteome)),
+        r AS (SELECT host_idx, min(viral_idx) AS first, max(viral_idx) AS last, count(*) AS n FROM p GROUP BY host_idx, run)
+        SELECT *, (coalesce(sum(n) OVER (ORDER BY host_idx, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+               AS before FROM r""",
     "sweep_progress": f"""WITH {_GRID}
         SELECT (SELECT count(*) FROM done) AS n_done, (SELECT count(*) FROM inv) AS n_total,
                ((SELECT count(*) FROM done) * 100) // (SELECT count(*) FROM inv) AS percent""",
