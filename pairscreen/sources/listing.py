@@ -26,7 +26,3 @@ def list_files(spark, path, pattern="*"):
             if f.isFile() and fnmatch(name, pattern) and not name.startswith(("_", ".")):
                 rows.append((f.getPath().toString(), f.getLen()))
     return spark.createDataFrame(rows, FILE)
-
-
-def empty_files(spark, path, pattern="*"):
-    return list_files(spark, path, pattern).where(F.col("size") == 0)

@@ -184,6 +184,28 @@ def test_fingerprint(spark, folder):
         fingerprint.require_same(fingerprint.fingerprint(spark, folder, "*.faa"), expected)
 
 
+def hash_tree(data, size, fan):
+    sha = lambda b: hashlib.sha256(b).digest()
+    level = [sha(b"\0" + data[i : i + size]) for i in range(0, max(1, len(data)), size)]
+    while len(level) > 1:
+        level = [sha(b"\1" + b"".join(level[i : i + fan])) for i in range(0, len(level), fan)]
+    return hashlib.sha256(f"{len(data)}:{size}:{fan}".encode() + level[0]).hexdigest()
+
+
+@pytest.mark.parametrize("size, fan", [(1, 2), (7, 3), (1000, 4)])
+def test_tree_fingerprint(spark, tmp_path, size, fan):
+    """Ranges of a few bytes; a file's root does not depend on the files beside it."""
+    data = {"empty": b"", "one": b"x", "seven": b"ACDEFGH", "long": bytes(range(256)) * 2, "a b%20c": b"same" * 9}
+    for name, text in data.items():
+        (tmp_path / name).write_bytes(text)
+    got = fingerprint.tree_fingerprint(spark, str(tmp_path), range_bytes=size, fan=fan).collect()
+    assert {r.name: (r["size"], r.sha256) for r in got} == {
+        n: (len(t), hash_tree(t, size, fan)) for n, t in data.items()
+    }
+    whole = fingerprint.fingerprint(spark, str(tmp_path)).collect()
+    assert {r.name: r.sha256 for r in whole} == {n: hashlib.sha256(t).hexdigest() for n, t in data.items()}
+
+
 def test_content_hash_ignores_row_order(spark):
     rows = [("a", i, str(i), "ACDEF"[: i % 5]) for i in range(30)]
     cols = ["seq_idx", "protein_id", "sequence"]
