@@ -10,6 +10,7 @@ from pairscreen.sources.tables import load
 from pairscreen.streaming.encoding import stream_encode_rows
 from pairscreen.streaming.results import (
     keep_latest,
+    keep_running,
     read_latest,
     start,
     stream_table,
@@ -42,6 +43,26 @@ def stream_ingest(spark, d):
     return stored.select("event_id", "host_proteome", "viral_proteome", "value")
 
 
+CSV_ROWS = "event_id bigint, host_proteome string, value double"
+
+
+def stream_ingest_csv(spark, d):
+    """The same from CSV files in a folder for each viral proteome, by the loop that
+    outlives failed passes; the second pass finds nothing new."""
+    src, path, progress = (scratch(spark, n) for n in ("csv", "stream", "progress"))
+    rows = _rows_of_files(load(spark, d, "events"))
+    rows.write.option("header", True).partitionBy("viral_proteome").csv(src)
+    schema = f"{CSV_ROWS}, viral_proteome string"
+    arriving = spark.readStream.schema(schema).option("header", True).csv(src)
+    keep_running(lambda: start(arriving, path, progress, once=True), interval=0, passes=2)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _rows_of_files(events):
+    host = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host_proteome")
+    return events.select("event_id", host, "value", F.col("event_type").alias("viral_proteome"))
+
+
 def stream_dedupe(spark, d):
     keys = ["host_proteome", "viral_proteome"]
     return _to_table(spark, first_arrivals(_results(spark, d), keys)).select(*keys)
@@ -83,6 +104,7 @@ def stream_encode(spark, d):
 
 QUERIES = {
     "stream_ingest": stream_ingest,
+    "stream_ingest_csv": stream_ingest_csv,
     "stream_dedupe": stream_dedupe,
     "stream_progress": stream_progress,
     "stream_encode": stream_encode,
@@ -93,6 +115,7 @@ ev AS (SELECT event_id, ts, 'u' || user_id AS host_proteome, event_type AS viral
 
 SQL = {
     "stream_ingest": f"WITH {_EV} SELECT event_id, host_proteome, viral_proteome, value FROM ev",
+    "stream_ingest_csv": f"WITH {_EV} SELECT event_id, host_proteome, viral_proteome, value FROM ev",
     "stream_dedupe": f"WITH {_EV} SELECT DISTINCT host_proteome, viral_proteome FROM ev",
     "stream_progress": f"""WITH {_EV}
         SELECT viral_proteome, count(DISTINCT host_proteome) AS n_done FROM ev GROUP BY viral_proteome""",

@@ -4,6 +4,10 @@ The file source keeps track of what it has read in its checkpoint, so a
 restart goes on where it stopped and a failed pass is simply run again.
 """
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pairscreen.schemas import CROSS_RESULTS
@@ -55,23 +59,79 @@ def start(df, path, checkpoint, mode="append", interval=INTERVAL, once=False, fm
     return writer.format(fmt).option("path", path).start()
 
 
-def keep_latest(path, keys):
+COMPACT_EVERY = 100
+
+
+def keep_latest(path, keys, compact_every=COMPACT_EVERY):
     """A ``foreachBatch`` function for update-mode aggregates: each batch is
     written as one immutable folder named by its id, so a replayed batch
-    replaces itself; ``read_latest`` takes each key's newest row."""
+    replaces itself; ``read_latest`` takes each key's newest row.  Every ``compact_every``
+    batches the newest rows so far are written as a snapshot, which a manifest row names
+    once it is whole; the rows of older folders are not read again (their names are listed)."""
+    keys = list(keys)
 
     def write(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            spark = batch.sparkSession
+            folder = f"{path}/snapshots/{uuid.uuid4().hex}"
+            read_latest(spark, path, keys, up_to=batch_id, with_batch=True).write.parquet(folder)
+            row = spark.range(1).select(F.lit(batch_id).cast("bigint").alias("up_to"), F.lit(folder).alias("folder"))
+            row.write.mode("append").parquet(f"{path}/manifest")
 
     return write
 
 
-def read_latest(spark, path, keys):
-    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
-    rest = [c for c in rows.columns if c not in keys]
-    newest = F.max(F.struct("batch_id", *[c for c in rest if c != "batch_id"])).alias("n")
-    return rows.groupBy(*keys).agg(newest).select(
-        *keys, *[F.col(f"n.{c}").alias(c) for c in rest if c != "batch_id"]
-    )
+def _snapshot(spark, path, up_to):
+    """``(last batch, folder)`` of the newest snapshot, older than batch ``up_to``."""
+    try:
+        rows = spark.read.schema("up_to bigint, folder string").parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    if up_to is not None:
+        rows = rows.where(F.col("up_to") < up_to)
+    return rows.agg(F.max(F.struct("up_to", "folder"))).first()[0]
+
+
+def read_latest(spark, path, keys, up_to=None, with_batch=False):
+    """Each key's newest row: of the newest snapshot and the batches after it."""
+    keys = list(keys)
+    number = F.col("batch_id").cast("bigint")
+    rows = spark.read.parquet(f"{path}/batches")
+    snapshot = _snapshot(spark, path, up_to)
+    if snapshot is not None:
+        rows = rows.where(F.col("batch_id") > snapshot["up_to"])
+    if up_to is not None:
+        rows = rows.where(F.col("batch_id") <= up_to)
+    rows = rows.withColumn("batch_id", number)
+    if snapshot is not None:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(snapshot["folder"]))
+    rest = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    newest = F.max(F.struct("batch_id", *rest)).alias("n")
+    out = rest + (["batch_id"] if with_batch else [])
+    return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"n.{c}").alias(c) for c in out])
+
+
+def keep_running(begin, interval=600, longest_wait=3600, passes=None, stop=None, on_failure=None, sleep=time.sleep):
+    """Run ``begin`` (starts a ``once`` query and returns it) again and again, ``interval``
+    seconds apart.  A failed pass does not end the loop: the checkpoint has kept what was
+    done, so the next pass takes it up; waits double after each failure in a row, up to
+    ``longest_wait``.  ``on_failure`` is told of each error and may raise to give up;
+    ``stop()`` ends the loop, as does a number of ``passes``.  Returns ``(passes, failures)``."""
+    done = failures = in_a_row = 0
+    while passes is None or done < passes:
+        if stop is not None and stop():
+            break
+        done += 1
+        try:
+            begin().awaitTermination()
+            in_a_row = 0
+        except Exception as e:
+            failures, in_a_row = failures + 1, in_a_row + 1
+            if on_failure is not None:
+                on_failure(e)
+        if passes is None or done < passes:
+            sleep(min(longest_wait, interval * 2**in_a_row))
+    return done, failures

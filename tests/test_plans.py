@@ -201,6 +201,52 @@ def test_stream_progress_counts_a_pair_once(spark, tmp_path):
     assert run() == {"h1": 2, "h2": 1}
 
 
+def test_snapshots_replace_old_batches(spark, tmp_path):
+    """Nine batches, a snapshot after every third: what is read does not grow."""
+    path = str(tmp_path / "rows")
+    write, want = stream.keep_latest(path, ["k"], compact_every=3), {}
+    for b in range(9):
+        rows = [("a", b), (f"k{b % 4}", b * 10)]
+        batch = spark.createDataFrame(rows, "k string, n long")
+        write(batch, b)
+        if b in (2, 5):  # a replayed batch, with its snapshot
+            write(batch, b)
+        want.update(rows)
+        got = stream.read_latest(spark, path, ["k"])
+        assert got.columns == ["k", "n"] and {r.k: r.n for r in got.collect()} == want
+        # What a snapshot covers is not read again: a row put there later never shows.
+        if b % 3 == 2:
+            ghost = spark.createDataFrame([("ghost", b)], "k string, n long")
+            ghost.write.mode("overwrite").parquet(f"{path}/batches/batch_id={b - 1}")
+
+
+def test_loop_outlives_a_failed_pass(spark, tmp_path):
+    src, out, waits, seen = tmp_path / "in", str(tmp_path / "out"), [], []
+    src.mkdir()
+    passes = iter(range(100))
+
+    def begin():
+        n = next(passes)
+        (src / f"h{n}__v.csv").write_text(HEAD + "a,b,0.5,True\n")
+
+        def write(batch, number):
+            if n in (1, 2):
+                raise RuntimeError("the target is away")
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        rows = stream.stream_results(spark, str(src))
+        writer = rows.writeStream.option("checkpointLocation", str(tmp_path / "chk")).foreachBatch(write)
+        return writer.trigger(availableNow=True).start()
+
+    done, failures = stream.keep_running(begin, 10, 35, passes=5, on_failure=seen.append, sleep=waits.append)
+    assert (done, failures) == (5, 2) and len(seen) == 2 and all("away" in str(e) for e in seen)
+    assert waits == [10, 20, 35, 10]  # longer after each failure, then as before
+    got = [r.host_proteome for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [f"h{n}" for n in range(5)]  # nothing lost, nothing twice
+    ended = stream.keep_running(begin, passes=9, stop=lambda: True)
+    assert ended == (0, 0)
+
+
 def test_watermarked_dedupe(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.range(100).selectExpr("id % 10 k", "timestamp_seconds(1700000000 + id) ts").write.parquet(src)
