@@ -9,7 +9,7 @@ answer, so Spark's own sampling only decides the balance.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairscreen.functions import hash_uniform
+from pairscreen.functions import hash_uniform, shift_index
 from pairscreen.session import materialise
 
 _SLICE = "__slice"
@@ -93,7 +93,7 @@ def take_examples(df, n, id_col, seed):
 def cyclic_partner(df, shifts, total, pos="pos", out="partner"):
     """One row per shift with the position ``(pos + shift) mod total``."""
     return df.withColumn("shift", F.explode(F.array(*[F.lit(int(s)) for s in shifts]))).withColumn(
-        out, F.pmod(F.col(pos) + F.col("shift"), F.lit(total).cast("bigint"))
+        out, shift_index(pos, "shift", F.lit(total).cast("bigint"))
     )
 
 

@@ -1,8 +1,8 @@
 """The registered queries over the given tables, with their SQL."""
 
-from pairscreen.queries import metrics, retrieval, scoring, streams, sweeps, texts, training
+from pairscreen.queries import metrics, resolving, retrieval, scoring, streams, sweeps, texts, training
 
-_MODULES = (retrieval, scoring, sweeps, training, metrics, texts, streams)
+_MODULES = (retrieval, resolving, scoring, sweeps, training, metrics, texts, streams)
 
 
 def all_queries():

@@ -1,6 +1,7 @@
 import pytest
 
 from pairscreen.operators import resolve
+from pairscreen.operators.retrieval import topk_rank
 
 
 def dedupe(spark, rows):
@@ -65,3 +66,13 @@ def test_order_and_argmax(spark):
     assert [r.c for r in resolve.order_by_rank(df, "q", "r").collect()] == [6, 5, 7]
     names = spark.createDataFrame([(5, "five"), (6, "six"), (7, "seven")], "id long, protein_id string")
     assert {r.name for r in resolve.with_ids(df, names, "c", "name").collect()} == {"five", "six", "seven"}
+
+
+def test_ranks_are_cut_before_the_shuffle(spark):
+    """A hot group sends its best rows of each partition, not all of them."""
+    df = spark.range(1000).selectExpr("id div 5000 as q", "id as c", "id % 7 as s")
+    for ranked in (topk_rank(df, "q", "s", "c", 3), resolve.argmax_first(df, "q", "s", "c")):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("Exchange hashpartitioning") :]
+        assert "WindowGroupLimit" in below
+    assert [r.c for r in topk_rank(df, "q", "s", "c", 3).orderBy("rank").collect()] == [6, 13, 20]
