@@ -18,10 +18,11 @@ def valid_clusters(df, c1="seq1_cluster", c2="seq2_cluster"):
     return df.where((F.col(c1) != UNKNOWN) & (F.col(c2) != UNKNOWN))
 
 
-def interaction_keys(*frames, c1="seq1_cluster", c2="seq2_cluster", multiplier=None):
+def interaction_keys(*frames, c1="seq1_cluster", c2="seq2_cluster", multiplier=None, unique=True):
     """Distinct known cluster pairs of all frames, in both directions, as
     ``(c1, c2)``; with a ``multiplier`` also as one BIGINT ``key``, which fails
-    on clusters it cannot hold.  Pairs are made distinct without regard to
+    on clusters it cannot hold, unless it need not be ``unique``: pairs are told apart by
+    their two columns.  Pairs are made distinct without regard to
     direction and doubled afterwards: one shuffle."""
     every = None
     for frame in frames:
@@ -38,7 +39,7 @@ def interaction_keys(*frames, c1="seq1_cluster", c2="seq2_cluster", multiplier=N
     keys = pairs.select(F.inline(F.array_distinct(F.array(*ways))))
     if multiplier is None:
         return keys
-    return keys.withColumn("key", composite_key("c1", "c2", multiplier))
+    return keys.withColumn("key", composite_key("c1", "c2", multiplier, unique))
 
 
 def check_multiplier(df, c1="seq1_cluster", c2="seq2_cluster", multiplier=KEY_MULTIPLIER):

@@ -22,7 +22,8 @@ RATIOS = {"random": 2.5, "self": 0.6, "hard": 2.0}
 
 
 def interaction_keys(spark, d):
-    return knowns.interaction_keys(interactions(spark, d), multiplier=KEY_MULTIPLIER)
+    """Rows are pairs; above the multiplier their key is no longer one pair's alone."""
+    return knowns.interaction_keys(interactions(spark, d), multiplier=KEY_MULTIPLIER, unique=False)
 
 
 def cluster_index(spark, d):
