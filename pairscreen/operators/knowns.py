@@ -44,11 +44,12 @@ def interaction_keys(*frames, c1="seq1_cluster", c2="seq2_cluster", multiplier=N
 
 def check_multiplier(df, c1="seq1_cluster", c2="seq2_cluster", multiplier=KEY_MULTIPLIER):
     """Fail early if a cluster id reaches the multiplier; the largest id, or
-    ``None`` when no pair is known (known-pair masking then does nothing)."""
+    ``None`` when no pair is known (known-pair masking then does nothing).  Without a
+    multiplier the id is only reported, so that one can be chosen."""
     top = valid_clusters(normalise_clusters(df, (c1, c2)), c1, c2).agg(
         F.max(F.greatest(c1, c2))
     ).first()[0]
-    if top is not None and top >= multiplier:
+    if None not in (top, multiplier) and top >= multiplier:
         raise ValueError(f"cluster id {top} reaches the key multiplier {multiplier}")
     return top
 
