@@ -35,13 +35,13 @@ ENCODINGS = (
 LENGTHS = 32
 BINS = 20
 
-#: About so many rows, those of the least hash, say how symbols follow each other in text.
-BACKGROUND_ROWS = 4_096
 #: Part of the steps of a text-like string that may be anything.
 _ANYTHING = 0.2
 #: A symbol seen so often counts half by what follows it, half by how common that is at
-#: all: a key that lies in the background does not speak for itself.
+#: all: a key that lies in the background does not speak for itself.  Keys come with the
+#: text, so in a large table it is this part of all steps.
 SEEN = 1_000
+SEEN_PART = 1 / 6_000
 #: Neighbouring classes of length of an encoding are pooled up to so many runs.
 POOLED = 200
 #: Runs with a smaller combined p-value are no random strings, however unlike text.
@@ -120,17 +120,12 @@ def _encoded(c):
     return out
 
 
-def background(docs, text_col="text", rows=BACKGROUND_ROWS):
-    """How often each symbol follows each other one in the texts of about ``rows`` rows,
-    each different text once: ``{(a, b): times}``.  Hashes are even, so the rows are
-    those whose hash lies below a bound that follows from the number of all rows.  At
-    most a few thousand numbers reach the driver."""
-    texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL")
-    n = texts.count()
-    if n > rows:
-        texts = texts.where(F.xxhash64("t") < -(1 << 63) + (rows << 64) // n)
-    sample = texts.dropDuplicates(["t"])
-    lines = sample.select(F.explode(F.split(F.translate("t", "-_", "+/"), r"[^A-Za-z0-9+/]+")).alias("w")).where("length(w) > 1")
+def background(docs, text_col="text"):
+    """How often each symbol follows each other one in all texts, each different text
+    once: ``{(a, b): times}``.  Words are counted first, so a step is taken once for each
+    different word.  At most a few thousand numbers reach the driver."""
+    texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").dropDuplicates(["t"])
+    lines = texts.select(F.explode(F.split(F.translate("t", "-_", "+/"), r"[^A-Za-z0-9+/]+")).alias("w")).where("length(w) > 1")
     words = lines.groupBy("w").count()
     symbols = F.split("w", "(?!^)(?!$)")  # a place in a long word is found by counting from its start
     steps = F.zip_with(symbols, F.slice(symbols, 2, F.size(symbols)), lambda a, b: F.concat(a, b))
@@ -142,7 +137,7 @@ def background(docs, text_col="text", rows=BACKGROUND_ROWS):
 def _step_table(follows):
     """For each encoding, alphabet by alphabet: log10 of how much likelier a symbol
     after another is in a random string than in text."""
-    out = []
+    out, least = [], max(SEEN, SEEN_PART * sum(follows.values()))
     for name, _, alphabet in ENCODINGS:
         fold = str.lower if name in ("hex", "base36") else str
         held = {}
@@ -153,7 +148,7 @@ def _step_table(follows):
         for a in alphabet:
             total = sum(held.get((a, b), 0) for b in alphabet)
             for b in alphabet:
-                seen = (held.get((a, b), 0) + SEEN * common[b] / whole) / (total + SEEN) * len(alphabet)
+                seen = (held.get((a, b), 0) + least * common[b] / whole) / (total + least) * len(alphabet)
                 out.append(-math.log10((1 - _ANYTHING) * seen + _ANYTHING))
     return out
 
@@ -406,7 +401,7 @@ def _with_random(scanned, rate):
     return scanned.withColumn("spans", F.array_sort(F.concat("base", random)))
 
 
-def find_secrets(docs, keep=("doc_id",), text_col="text", rate=0.1, background_rows=BACKGROUND_ROWS):
+def find_secrets(docs, keep=("doc_id",), text_col="text", rate=0.1):
     """Spans of secrets in whole texts: the columns of ``keep`` with ``base`` and
     ``spans``, arrays of (start, kind, end) in code points, end exclusive; kind is a
     position in ``KINDS``.
@@ -416,15 +411,14 @@ def find_secrets(docs, keep=("doc_id",), text_col="text", rate=0.1, background_r
     a rate of false discoveries of at most ``rate`` in each encoding and class of length
     (small classes are pooled with their neighbours): by how even the p-values are, or
     by how unlike text a run is, so that a single clear run is found in any table.  What
-    text is like is counted over about ``background_rows`` rows, those whose text has the
-    least hash; all rows are scanned.  What is found is written, counted, and read again.
+    text is like is counted over all texts.  What is found is written, counted, and read again.
 
     A null or empty text has no spans.  Nulls in other columns are kept, repeated
     rows each come back, an empty table gives no rows, other columns are ignored.  The
     work is in proportion to the text, however long a run is or many there are.
     """
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
-    found = scan(rows, background(rows, "text", background_rows)).drop("text")
+    found = scan(rows, background(rows, "text")).drop("text")
     marked = _with_random(materialise(found, "secrets"), rate)
     return marked.select(*[F.col("row")[c].alias(c) for c in keep], "base", "spans")
 
@@ -472,14 +466,14 @@ def _without(text, spans, mark, block=256):
     return F.concat(_bound(gaps, cut), F.substring(text, F.array_max(ends) + 1, F.length(text)))
 
 
-def redact(docs, text_col="text", mark="[SECRET]", rate=0.1, length_col=None, background_rows=BACKGROUND_ROWS):
+def redact(docs, text_col="text", mark="[SECRET]", rate=0.1, length_col=None):
     """``docs`` with every secret span of ``text_col`` replaced by ``mark``;
     overlapping spans become one mark, and ``length_col``, if named, is set to the new
     length.  Rows without spans stay as they are, and so do all other columns, whatever
     their names."""
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
     rows = docs.select(row, docs[f"`{text_col}`"].alias("text"))
-    found = scan(rows, background(rows, "text", background_rows)).drop("text")
+    found = scan(rows, background(rows, "text")).drop("text")
     found = _with_random(materialise(found, "secrets"), rate)
     text = F.col("row")[text_col]
     found = found.withColumn("text", F.when(F.size("spans") > 0, _without(text, F.col("spans"), mark)).otherwise(text))
