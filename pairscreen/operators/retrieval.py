@@ -38,17 +38,30 @@ def _sides(queries, keys, q_id, q_vec, k_id, k_vec, q_space, k_space, held=(), p
     return left, right
 
 
-def _plan(left, right, k, q_space, query_block, key_shard):
+#: What a row or a result weighs in a shuffle beside its vector.
+ROW_BYTES = 40
+
+
+def _plan(left, right, k, q_space, query_block, key_shard, grouped=False):
     """Block size from the vector width: a held query costs its vector, twice,
-    and 24 bytes for each of its best ``k``."""
+    and 24 bytes for each of its best ``k``.  A query that is sent to one more shard
+    brings back ``k`` results for each group of keys."""
 
-    def rows():
+    def vector():
         first = left.select(F.size("vec")).first()
         value = 4 if left.schema["vec"].dataType.elementType.typeName() == "float" else 8
-        return tiles.block_rows((first[0] if first else 0) * 2 * value + 24 * k)
+        return (first[0] if first else 0) * value
+
+    def rows():
+        return tiles.block_rows(vector() * 2 + 24 * k)
+
+    def costs():
+        groups = right.agg(F.approx_count_distinct("grp")).first()[0] if grouped else 1
+        row = vector() + ROW_BYTES
+        return row + k * max(1, groups) * ROW_BYTES, row
 
     return tiles.plan(
-        left.select("space"), right.select("space"), q_space is None, query_block or rows, key_shard
+        left.select("space"), right.select("space"), q_space is None, query_block or rows, key_shard, costs
     )
 
 
@@ -73,7 +86,7 @@ def topk_by_space(
     ``per``: a key column; the best ``k`` are taken for each of its values.
     """
     left, right = _sides(queries, keys, q_id, q_vec, k_id, k_vec, q_space, k_space, per=per)
-    p = _plan(left, right, k, q_space, query_block, key_shard)
+    p = _plan(left, right, k, q_space, query_block, key_shard, per is not None)
     per_type = keys.schema[per].dataType if per else T.IntegerType()
     both = tiles.meet(
         [
@@ -95,7 +108,8 @@ def topk_by_space(
     )
     found = both.mapInArrow(_top_task(k, to_arrow_schema(out)), out)
     if not p.single_shard:
-        best = Window.partitionBy("space", "q_id", "grp").orderBy(F.desc("ip"), "c_id")
+        by = ["q_id", "grp"] if q_space is None else ["space", "q_id", "grp"]
+        best = Window.partitionBy(*by).orderBy(F.desc("ip"), "c_id")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     found = found.drop("space")
     return found.withColumnRenamed("grp", per) if per else found.drop("grp")

@@ -20,6 +20,7 @@ MIN_BLOCK = 128  # below this a smaller block buys no parallelism
 MAX_PARTITIONS = 100_000
 MAX_LOCAL_SPACES = 10_000
 PAIRS_PER_TASK = 1 << 30
+ROWS_PER_TILE = 512  # a tile for so many rows (of the geometric mean of both sides), up to the slots
 
 TILE = ["space", "lb", "rb"]
 
@@ -54,10 +55,12 @@ class TilePlan:
         )
 
 
-def plan(left, right, one_space, left_block, right_shard=None):
+def plan(left, right, one_space, left_block, right_shard=None, costs=None):
     """``left`` and ``right`` carry ``space``.  One pruned count over both.
     ``left_block`` is a number of rows or a function that finds it, called only
-    if some space is larger than the smallest block."""
+    if some space is larger than the smallest block.  ``costs`` finds what moves for a
+    left row in each shard and for a right row in each block; called only if there is
+    something to cut."""
     spark = left.sparkSession
     slots = parallelism(spark)
     right_shard = right_shard or RIGHT_SHARD
@@ -73,7 +76,7 @@ def plan(left, right, one_space, left_block, right_shard=None):
     totals = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("l", "n_left"), ("r", "n_right"))]
     if one_space:
         n_left, n_right = both.agg(*totals).first()
-        cut, partitions = _cut([(0, n_left, n_right)], slots, block(n_left), right_shard)
+        cut, partitions = _cut([(0, n_left, n_right)], slots, block(n_left), right_shard, costs)
         _, n_lb, n_rb, _ = cut[0]
         return TilePlan(partitions, n_rb == 1, pieces=(n_lb, n_rb), rows=(n_left, n_right))
     sizes = both.groupBy("space").agg(*totals).where("space is not null and n_left > 0 and n_right > 0")
@@ -88,20 +91,27 @@ def plan(left, right, one_space, left_block, right_shard=None):
     )
     if many:
         return TilePlan(MAX_PARTITIONS, False, frame=pieces)
-    cut, partitions = _cut([tuple(r) for r in rows], slots, left_block, right_shard)
+    cut, partitions = _cut([tuple(r) for r in rows], slots, left_block, right_shard, costs)
     small = spark.createDataFrame(cut, pieces.schema)
     return TilePlan(partitions, all(c[2] == 1 for c in cut), frame=F.broadcast(small))
 
 
-def _cut(counts, slots, left_block, right_shard):
+def _cut(counts, slots, left_block, right_shard, costs=None):
     """(space, blocks, shards, first tile) per space and the partition count.
-    Blocks bound memory; small inputs get more of them, to fill the slots."""
+    Blocks and shards bound memory; larger inputs get more of them, to fill the slots.  Every block costs a copy of the right side and every shard one of the
+    left side and of its results, so both sides are cut, where that moves least: the
+    copies grow with the root of the slots, not with the rows."""
     pairs = sum(n_left * n_right for _, n_left, n_right in counts) or 1
     cut, base = [], 0
     for space, n_left, n_right in counts:
-        share = max(1, round(slots * n_left * n_right / pairs))
-        n_lb = max(-(-n_left // left_block), min(share, n_left // MIN_BLOCK), 1)
-        n_rb = max(1, -(-n_right // right_shard))
+        own = n_left * n_right
+        share = max(1, min(round(slots * own / pairs), math.ceil(math.sqrt(own) / ROWS_PER_TILE)))
+        n_lb, n_rb = max(1, -(-n_left // left_block)), max(1, -(-n_right // right_shard))
+        if share > n_lb * n_rb:
+            costs = (costs() if callable(costs) else costs) or (1, 1)
+            even = round(math.sqrt(share * n_right * costs[1] / (n_left * costs[0])))
+            n_rb = max(n_rb, min(even, share, n_right // MIN_BLOCK), 1)
+            n_lb = max(n_lb, min(-(-share // n_rb), n_left // MIN_BLOCK))
         cut.append((space, n_lb, n_rb, base))
         base += n_lb * n_rb
     return cut, min(max(base, 1), max(slots, min(MAX_PARTITIONS, pairs // PAIRS_PER_TASK)))
