@@ -1,7 +1,9 @@
 """Statistics of the similarity matrix inside batches of any size.
 
 The matrix of a batch is cut into tiles of about ``TILE`` rows and columns, one to a
-task; a batch of fewer rows is one tile.  ``tile`` sets another size.  Only results per row and per column of a tile
+task; a batch of fewer rows is one tile.  ``tile`` sets a smaller size, for batches of up to
+``SIDE`` tiles a side: beyond that they grow, up to ``TILE``, or each row would be copied to
+a number of tiles that grows with the batch.  Only results per row and per column of a tile
 leave it, and are merged: the best by their order, sums of exponentials by a running
 maximum (log-sum-exp), so no matrix is ever put together.
 """
@@ -14,10 +16,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairscreen.operators.arrow_runs import matrix, table
+from pairscreen.operators.dot_kernels import exact_dots, lengths_of, rounding_bound
 from pairscreen.operators.knowns import UNKNOWN
 
 #: Rows and columns of a tile, on average.
 TILE = 2048
+#: A batch is cut into more blocks only if they would be larger than ``TILE``.
+SIDE = 16
+#: Cells of a product that are added up at a time: they stay in the cache.
+CELLS = 32_768
+#: Up to so many best cells of a row are picked one after another.
+FEW_BEST = 8
 FEW_PARTNERS = 32
 MASKED = -1e4  # logit of a known pair off the diagonal
 
@@ -45,11 +54,35 @@ def known_in_batch(rows, known, batch="batch_id", c1="c1", c2="c2", block=None):
 def _similarity(q, k):
     """All dots, each summed left to right: independent of the batch's shape."""
     out = np.zeros((len(q), len(k)))
-    for d in range(q.shape[1]):
-        out += q[:, d][:, None] * k[:, d][None, :]
+    k_t = np.ascontiguousarray(k.T)
+    step = max(1, CELLS // max(1, len(k)))
+    term = np.empty((step, len(k)))
+    for at in range(0, len(q), step):
+        part, some = out[at : at + step], q[at : at + step]
+        held = term[: len(some)]
+        for d in range(q.shape[1]):
+            part += np.multiply(some[:, d, None], k_t[d], out=held)
     return out
 
 
+def _product(q, k):
+    """All dots, and ``near(scores, n)``, which sets those that may be among the ``n`` best
+    of their row to the sum left to right, so that order and ties do not depend on the
+    batch's shape.  Cells of ``scores`` that are -inf are left out."""
+    if len(q) * len(k) <= CELLS or not (np.isfinite(q).all() and np.isfinite(k).all()):
+        return _similarity(q, k), lambda scores, n: scores
+    slack = 2 * lengths_of(q) * lengths_of(k).max() * rounding_bound(q.shape[1], q.dtype)
+
+    def near(scores, n):
+        at = max(0, scores.shape[1] - n)
+        top = scores.max(axis=1) if n == 1 else np.partition(scores, at, axis=1)[:, at]
+        r, c = np.divmod(np.flatnonzero((scores >= (top - slack)[:, None]) & (scores > -np.inf)), scores.shape[1])
+        scores[r, c] = exact_dots(np.ascontiguousarray(q.T), r, np.ascontiguousarray(k.T), c)
+        return scores
+
+    return q @ k.T, near
+
+
 def _known_cells(c1, c2, pairs):
     mask = np.zeros((len(c1), len(c2)), dtype=bool)
     known = {}
@@ -62,14 +95,16 @@ def _known_cells(c1, c2, pairs):
 
 def _blocked(rows, tile):
     """``rows`` with the ``block`` of each and the number of ``blocks`` of its batch."""
-    sizes = rows.groupBy(F.col("batch_id").alias("of")).agg(F.ceil(F.count(F.lit(1)) / (tile or TILE)).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    blocks = F.least(F.ceil(n / (tile or TILE)), F.greatest(F.ceil(n / max(tile or TILE, TILE)), F.lit(SIDE)))
+    sizes = rows.groupBy(F.col("batch_id").alias("of")).agg(blocks.cast("int").alias("blocks"))
     sized = rows.join(sizes, rows["batch_id"].eqNullSafe(sizes["of"])).drop("of")
     return sized.withColumn("block", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
 
 
 def _per_tile(df, known, fold, out_fields, batch, idx, q, k, c1, c2, tile):
-    """Run ``fold(row idx, column idx, similarity, known mask) -> columns`` for each
-    tile; both are in order of ``idx``."""
+    """Run ``fold(row idx, column idx, similarity, known mask, near) -> columns`` for each
+    tile; both are in order of ``idx``, ``near`` is that of ``_product``."""
     codes = known is not None
     cols = [F.col(batch).alias("batch_id"), F.col(idx).cast("bigint").alias("idx")]
     cols += [F.col(q).alias("q"), F.col(k).alias("k")]
@@ -90,11 +125,11 @@ def _per_tile(df, known, fold, out_fields, batch, idx, q, k, c1, c2, tile):
             return schema.empty_table()
         one, two = tab.slice(0, cut).combine_chunks(), tab.slice(cut).combine_chunks()
         a, b = (matrix(t.to_batches()[0], "v").astype(np.float64) for t in (one, two))
-        sim = _similarity(a, b)
+        sim, near = _product(a, b)
         mask = np.zeros(sim.shape, dtype=bool)
         if codes and pairs:
             mask = _known_cells(one.column("c").to_numpy(), two.column("c").to_numpy(), pairs)
-        cells = fold(one.column("idx").to_numpy(), two.column("idx").to_numpy(), sim, mask)
+        cells = fold(one.column("idx").to_numpy(), two.column("idx").to_numpy(), sim, mask, near)
         n = len(next(iter(cells.values())))
         value = tab.column("batch_id")[0].as_py()
         return pa.Table.from_batches([table(schema, batch_id=[value] * n, **cells)])
@@ -129,6 +164,15 @@ def _double(name):
 
 def _first_best(scores, n):
     """Columns of the ``n`` largest cells per row, the smaller column on ties."""
+    if n <= FEW_BEST:
+        left, at = scores.copy(), np.arange(len(scores))
+        cols, best = np.empty((len(scores), n), np.int64), np.empty((len(scores), n))
+        for i in range(n):
+            cols[:, i] = left.argmax(axis=1)
+            best[:, i] = left[at, cols[:, i]]
+            left[at, cols[:, i]] = -np.inf
+        if np.isfinite(best).all():
+            return cols, best
     order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
     return order, np.take_along_axis(scores, order, axis=1)
 
@@ -136,8 +180,9 @@ def _first_best(scores, n):
 def in_batch_topk(df, top, batch="batch_id", idx="idx", q="q", k="k", tile=None):
     """The ``top`` most similar keys of each query inside its batch."""
 
-    def fold(rows, columns, sim, _):
-        cols, score = _first_best(sim, min(top, sim.shape[1]))
+    def fold(rows, columns, sim, _, near):
+        n = min(top, sim.shape[1])
+        cols, score = _first_best(near(sim, n), n)
         return {"idx": np.repeat(rows, cols.shape[1]), "match": columns[cols].ravel(), "sim": score.ravel()}
 
     fields = [_long("idx"), _long("match"), _double("sim")]
@@ -152,10 +197,12 @@ def in_batch_losses(
     similarities, and the arg-max of its row.  Known pairs off the diagonal
     are masked."""
 
-    def fold(rows, columns, sim, mask):
-        logits = scale * sim
+    def fold(rows, columns, sim, mask, near):
         own = rows[:, None] == columns[None, :]
-        logits[mask & ~own] = MASKED
+        known_pair = mask & ~own
+        sim[known_pair] = -np.inf
+        logits = scale * near(sim, 1)
+        logits[known_pair] = MASKED
 
         def lse(axis):
             top = logits.max(axis=axis, keepdims=True)
@@ -218,9 +265,9 @@ def hard_negatives(
     that are not known partners; fewer if fewer exist."""
     wanted = max(1, int(ratio)) if ratio > 0 else 0
 
-    def fold(rows, columns, sim, mask):
+    def fold(rows, columns, sim, mask, near):
         n = min(wanted, len(columns))
-        scores = np.where(mask | (rows[:, None] == columns[None, :]), -np.inf, sim)
+        scores = near(np.where(mask | (rows[:, None] == columns[None, :]), -np.inf, sim), n)
         cols, score = _first_best(scores, n)
         real = np.isfinite(score)
         return {"idx1": np.repeat(rows, n)[real.ravel()], "idx2": columns[cols][real], "sim": score[real]}
