@@ -1,6 +1,5 @@
 """Languages of texts as a mixture: expectation maximisation over n-grams."""
 
-import math
 import re
 
 import numpy as np
@@ -12,8 +11,6 @@ from pairscreen.llm.shared import by_bytes, numbered, texts
 #: Bytes of an n-gram, and the size of the table that they are hashed into.
 GRAM = 3
 TABLE_BITS = 16
-#: Training documents taken of each language.
-SAMPLE = 2_000
 #: Characters of texts that are fitted together.
 _TOGETHER = 1 << 19
 _ROUNDS = 20
@@ -40,24 +37,19 @@ def is_held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"):
+def train(docs, id_col="doc_id", text_col="text", lang_col="lang"):
     """Gram probabilities of each language: ``(languages, matrix)``.
 
-    Learns from rows with a language whose id is not held out.  Of each language
-    about ``sample`` rows are taken, by a hash of the id, so the work of fitting is
-    bounded; which rows exist is counted over all.  The driver sees one row per
-    language, and per language and gram of the fixed table.
+    Learns from every row with a language whose id is not held out.  A task adds its
+    texts up first, so the driver sees one row per language, and per language and gram
+    of the fixed table.
     """
     labelled = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("id")
     )
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    names = sorted(counts)
+    names = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not names:
         return [], np.zeros((0, 1 << TABLE_BITS))
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for name in names for x in (name, math.ceil(1e6 * sample / counts[name]))])
-    taken = labelled.where(draw < share[F.col("lang")])
 
     def count(batches):
         held = {}
@@ -72,7 +64,7 @@ def train(docs, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"
                 [pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(table[gram])], names=["lang", "gram", "n"]
             )
 
-    summed = taken.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    summed = labelled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     rows = summed.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.zeros((len(names), 1 << TABLE_BITS))
     np.add.at(matrix, (rows["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64), rows["gram"].to_numpy(np.int64)), rows["n"].to_numpy(np.float64))
@@ -169,19 +161,19 @@ def predict(docs, model, text_col="text", unknown="und", names=("lang_pred", "sc
     return docs.mapInArrow(run, schema)
 
 
-def identify(docs, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"):
+def identify(docs, id_col="doc_id", text_col="text", lang_col="lang"):
     """Train on ``docs`` and predict every row: ``id_col``, ``held_out``,
     ``lang_pred``, ``score``.  Language, source and id are no inputs of a prediction."""
-    model = train(docs, sample, id_col, text_col, lang_col)
+    model = train(docs, id_col, text_col, lang_col)
     rows = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
     return predict(rows, model, text_col).select(
         id_col, is_held_out(id_col).alias("held_out"), "lang_pred", "score"
     )
 
 
-def keep_known(docs, least=0.5, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"):
+def keep_known(docs, least=0.5, id_col="doc_id", text_col="text", lang_col="lang"):
     """``docs`` whose language could be told: not ``und``, and a score of ``least``
     or more.  All columns are kept as they are."""
     marks = ("__lang_pred", "__score")
-    marked = predict(docs, train(docs, sample, id_col, text_col, lang_col), text_col, names=marks)
+    marked = predict(docs, train(docs, id_col, text_col, lang_col), text_col, names=marks)
     return marked.where((F.col(marks[0]) != "und") & (F.col(marks[1]) >= least)).drop(*marks)
