@@ -14,6 +14,17 @@ from pairscreen.sources.fingerprint import content_hash
 _KEY = ["proteome_id", "content_hash", "encoder_version", "max_len"]
 MAX_ROWS_PER_FILE = 100_000
 CHUNK = 2_000  # proteins of one proteome that one task encodes in a row
+PARTS = 1_024  # a proteome's proteins are joined in so many parts at most
+
+
+def of_proteomes(rows, found):
+    """``rows`` of the proteomes in ``found``, which has one row for each, with its
+    columns.  Proteins are dealt by their ids, and only the numbers of the parts that
+    occur are brought together by proteome: the sequences of a large one never meet in
+    one task, and nothing is sent to all."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64("seq_idx", "protein_id"), F.lit(PARTS)))
+    parts = dealt.select("proteome_id", "__part").distinct().join(found, "proteome_id")
+    return dealt.join(parts, ["proteome_id", "__part"]).drop("__part")
 
 
 class EncodedStore:
@@ -38,7 +49,7 @@ class EncodedStore:
             return df
         if isinstance(ids, (list, tuple, set)):
             return df.where(F.col("proteome_id").isin(*ids))
-        return df.join(ids.select("proteome_id").distinct(), "proteome_id", "left_semi")
+        return of_proteomes(df, ids.select("proteome_id").distinct()).select(df.columns)
 
     def write(self, encoded):
         """Replace the partitions of the proteomes in ``encoded``, and only those."""
@@ -61,7 +72,7 @@ class EncodedStore:
             }
         )
         have = self.read().select(*_KEY).distinct()
-        return proteins.join(wanted.join(have, _KEY, "left_anti"), "proteome_id")
+        return of_proteomes(proteins, wanted.join(have, _KEY, "left_anti"))
 
     def encode(self, proteins):
         """Proteins of a proteome are brought together, a few thousand to a

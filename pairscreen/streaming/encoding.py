@@ -1,6 +1,7 @@
 """Encode proteomes as they arrive."""
 
 from pairscreen.sources.fasta import stream_fasta
+from pairscreen.sources.store import of_proteomes
 from pairscreen.streaming.results import INTERVAL
 
 
@@ -16,7 +17,7 @@ def stream_encode_rows(stream, store, checkpoint, interval=INTERVAL, once=False)
         rows.write.mode("overwrite").parquet(f"{arrived}/batch={number}")
         kept = store.spark.read.schema(rows.schema).parquet(arrived).select(*rows.columns)
         touched = store.spark.read.parquet(f"{arrived}/batch={number}").select("proteome_id").distinct()
-        whole = kept.join(touched, "proteome_id", "left_semi").distinct()
+        whole = of_proteomes(kept, touched).distinct()
         store.write(store.encode(store.missing(whole)))
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(arrive)
